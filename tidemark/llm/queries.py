@@ -8,21 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm._tables import read
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import quality
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import warc_round_trip
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_mix_sources, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op4_toxicity, op6_mix_sources, op7_quality, op8_exact_dedup, op9_main_text, op10_warc)}
