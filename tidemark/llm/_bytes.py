@@ -70,11 +70,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         first = min(last, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (in ``raw``), row and 64-bit hash of every word; ``fold`` maps bytes, 0 is no word byte."""
+def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, heads: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (in ``raw``), row and 64-bit hash of every word; ``fold`` maps bytes, 0 is no word byte.
+
+    ``heads`` has lengths as keys; each gets the rows and hashes of the first so many bytes of the words that are longer.
+    """
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
+        for k in heads or ():
+            heads[k] = none, np.zeros(0, U)
         return none, none, none, np.zeros(0, U)
     code = fold[raw]
     inside = code != 0
@@ -92,6 +97,9 @@ def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tup
     np.cumsum(code.astype(U) * powers[:n], out=total[1:])
     h = mix((total[e] - total[s]) * inverses[s] + (e - s).astype(U))
     row = np.searchsorted(offsets, s, "right") - 1
+    for k in heads or ():
+        a = s[e - s > k]
+        heads[k] = row[e - s > k], mix((total[a + k] - total[a]) * inverses[a] + U(k))
     return s, e, row, h
 
 

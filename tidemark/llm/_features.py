@@ -7,6 +7,8 @@ import numpy as np
 from tidemark.llm._bytes import U, mix, words
 
 BITS = 20
+#: Heads said once in so many words or more are features of their own.
+RATES = (200, 70, 25)
 
 SHAPE = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -30,16 +32,30 @@ def _hashed(x: np.ndarray, kind: int, bits: int) -> np.ndarray:
 
 
 def indicators(
-    raw: np.ndarray, offsets: np.ndarray, word_grams: tuple[int, ...] = (1,), shape_grams: tuple[int, ...] = (), runs: tuple[int, ...] = (), bits: int = BITS
+    raw: np.ndarray, offsets: np.ndarray, word_grams: tuple[int, ...] = (1,), shape_grams: tuple[int, ...] = (), runs: tuple[int, ...] = (), heads: tuple[int, ...] = (), bits: int = BITS
 ) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature (below 2 ** ``bits``) of every distinct feature of every text, in row order.
 
-    ``word_grams`` are n-grams of words, ``shape_grams`` n-grams of the classes of bytes, and ``runs`` n-grams of one word
-    said n times, whichever it is.
+    ``word_grams`` are n-grams of words, ``shape_grams`` n-grams of the classes of bytes, ``runs`` n-grams of one word
+    said n times, whichever it is, and ``heads`` the first n bytes of longer words, also by how often they are said.
     """
     parts = []
-    if word_grams or runs:
-        _, _, row, h = words(raw, offsets)
+    if word_grams or runs or heads:
+        begins = dict.fromkeys(heads)
+        _, _, row, h = words(raw, offsets, heads=begins)
+        said = np.bincount(row, minlength=len(offsets) - 1)
+        for n, (at, x) in begins.items():
+            key = (at.astype(U) << U(bits)) | _hashed(x, 300 + n, bits)
+            key.sort()
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(key)))
+            key = key[new]
+            parts.append(key)
+            # the same again where it is said more than once and often for the length of the text
+            at = (key >> U(bits)).astype(np.int64)
+            for level, least in enumerate(RATES):
+                often = (times >= 2) & (times * least >= said[at])
+                parts.append((at[often].astype(U) << U(bits)) | _hashed(key[often] & U((1 << bits) - 1), 400 + 10 * n + level, bits))
         for n in runs:
             if len(h) >= n:
                 m = len(h) - n + 1

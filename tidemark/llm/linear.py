@@ -123,7 +123,7 @@ def apply(model: dict, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarr
     return sigmoid(model["slope"] * (total + model["bias"]) + model["offset"])
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 120, batch: int = 2048, rate: float = 0.05, decay: float = 3e-4, beta: float = 0.0, gamma: float = 1.0, seed: int = 0) -> np.ndarray:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 200, batch: int = 2048, rate: float = 0.05, decay: float = 5e-5, beta: float = 0.0, gamma: float = 1.0, seed: int = 0) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier by the non-negative PU risk with logistic loss.
 
     Risk = prior * E_p[l(g)] + max(-beta, E_u[l(-g)] - prior * E_p[l(-g)]); where a batch's second part falls under -beta,
@@ -155,5 +155,22 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
             t += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w -= rate * (1 - (t - 1) / (epochs * steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
+
+
+def pu_platt(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steepest: float = 5.0) -> tuple[float, float]:
+    """Slope and offset of a sigmoid through margins.
+
+    The offset makes the unlabelled texts' mean score the class prior; of slopes from 1 to ``steepest`` the one of the
+    lowest corrected risk, E_u[softplus(g)] - prior * E_p[g], is taken.
+    """
+    best = (np.inf, 1.0, 0.0)
+    for slope in np.linspace(1.0, steepest, 17):
+        low, high = -60.0 - slope * unlabelled.max(), 60.0 - slope * unlabelled.min()
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sigmoid(slope * unlabelled + middle).mean() < prior else (low, middle)
+        risk = float(np.logaddexp(0, slope * unlabelled + low).mean() - prior * (slope * positive + low).mean())
+        best = min(best, (risk, float(slope), float(low)))
+    return best[1], best[2]

@@ -19,7 +19,7 @@ from tidemark.llm import linear
 from tidemark.llm._bytes import slices, text_buffers
 from tidemark.session import ship
 
-GRAMS = {"word_grams": (1,), "bits": 28}
+GRAMS = {"word_grams": (1,), "heads": (4, 5, 6, 8), "bits": 28}
 
 
 def feature_rows(grams: dict):
@@ -88,11 +88,14 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
             out[i, k[known[k] == f]] = 1
         return out
 
-    w = linear.nn_pu(dense(positive), dense(unlabelled), prior, seed=seed)
-    return {"known": known, "weights": w[:-1], "bias": float(w[-1]), "slope": 1.0, "offset": 0.0}
+    a, b = dense(positive), dense(unlabelled)
+    w = linear.nn_pu(a, b, prior, seed=seed)
+    # the non-negative risk keeps margins small; the same corrected risk says how sure each is
+    slope, offset = linear.pu_platt(a @ w[:-1] + w[-1], b @ w[:-1] + w[-1], prior)
+    return {"known": known, "weights": w[:-1], "bias": float(w[-1]), "slope": slope, "offset": offset}
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", most_positive: int = 8000, most_unlabelled: int = 20000, seed: int = 4) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", most_positive: int = 5000, most_unlabelled: int = 12000, seed: int = 4) -> dict:
     """Train on at most ``most_positive`` confirmed toxic texts and ``most_unlabelled`` others, of the learnable rows only.
 
     ``learnable`` is a condition on the column ``id``. The class prior is the share of toxic among their labels.
