@@ -9,6 +9,23 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (h)
 """
 
+WORDS = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP5 = f"""
+WITH iw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
+  FROM iw, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS shingles FROM ig GROUP BY item_id),
+dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+k AS (SELECT DISTINCT least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM dw, k, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+s AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN ig USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, shared::BIGINT AS shared, shingles::BIGINT AS shingles, shared / shingles AS containment
+FROM s JOIN n USING (item_id) WHERE shared >= 0.5 * shingles
+"""
+
 OP6 = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -55,4 +72,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6, "op8_exact_dedup": OP8, "op10_warc": OP10}
+    return {"op5_decontaminate": OP5, "op6_mix_sources": OP6, "op8_exact_dedup": OP8, "op10_warc": OP10}
