@@ -10,6 +10,7 @@ from tidemark.llm._tables import read
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.html_extract import extract_main_text
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import quality
@@ -21,6 +22,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -50,4 +55,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_quality, op8_exact_dedup, op9_main_text, op10_warc)}
+    return {f.__name__: f for f in (op1_near_duplicates, op3_licenses, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_quality, op8_exact_dedup, op9_main_text, op10_warc)}
