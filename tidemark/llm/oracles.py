@@ -9,6 +9,22 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (h)
 """
 
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM d, unnest(range(0, greatest(length(x) // 2 - 49, 0))) AS t(i)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE w.doc_id > m.least),
+e AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+p AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY ALL),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prior FROM p),
+k AS (SELECT q.doc_id, string_agg(substr(x, (2 * prior + 1)::BIGINT, (2 * (a - prior))::BIGINT), '' ORDER BY a) AS head, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last
+  FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN x ELSE head || substr(x, (2 * last + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 WORDS = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
@@ -72,4 +88,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5, "op6_mix_sources": OP6, "op8_exact_dedup": OP8, "op10_warc": OP10}
+    return {"op2_remove_repeats": OP2, "op5_decontaminate": OP5, "op6_mix_sources": OP6, "op8_exact_dedup": OP8, "op10_warc": OP10}

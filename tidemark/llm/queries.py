@@ -14,6 +14,7 @@ from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.quality import quality
+from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import warc_round_trip
 
@@ -22,6 +23,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -55,4 +60,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op3_licenses, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_quality, op8_exact_dedup, op9_main_text, op10_warc)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_remove_repeats, op3_licenses, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_quality, op8_exact_dedup, op9_main_text, op10_warc)}
