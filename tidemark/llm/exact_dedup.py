@@ -72,3 +72,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counte
     return both.select(
         F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("d")).alias("text_sha256")
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = 1024) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns; the keys that go are looked up on the map side while they are few.
+
+    Keys name rows here: rows that share a key and a text all stay, and rows with a null key go if their text has a key.
+    """
+    found = exact_dedup(docs, key, text, counters).where("group_size > 1 and not kept")
+    gone = cut(found.select(F.col(key).alias("_gone"), F.unhex("text_sha256").alias("_d")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
+    digest = F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256))
+    return docs.join(gone, (digest == F.col("_d")) & docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
