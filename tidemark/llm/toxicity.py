@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _features as features
 from tidemark.llm import linear
 from tidemark.llm._bytes import slices, text_buffers
-from tidemark.session import ship
+from tidemark.session import cut, ship
 
 GRAMS = {"word_grams": (1,), "heads": (4, 5, 6, 8), "bits": 28}
 
@@ -57,35 +57,44 @@ def sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
 
 
-def collect_features(texts: DataFrame, grams: dict) -> list[np.ndarray]:
-    """The features of a bounded sample ``id, text``, in order of the id."""
-    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(feature_rows(grams), "id long, features binary").collect()
-    return [np.frombuffer(r["features"], np.int32) for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, bytes(r["features"])))]
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, features) to a count by feature of both kinds, for each batch of the sample."""
+    for batch in batches:
+        kind = batch.column(0).to_numpy(zero_copy_only=False)
+        rows = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+        if not rows:
+            continue
+        ids, place = np.unique(np.concatenate(rows), return_inverse=True)
+        of = np.repeat(kind, [len(r) for r in rows])
+        both = [np.bincount(place, of == k, minlength=len(ids)).astype(np.int64) for k in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(both[0]), pa.array(both[1])], names=["feature", "p", "u"])
 
 
-def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 600, least: int = 5, least_z: float = 5.0, seed: int = 0) -> dict:
-    """Fit on features; the features kept are those whose rates differ most significantly between both sets."""
+def _held(known: np.ndarray):
+    """mapInArrow function: (positive, id, features) to the places of the known features a text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(2).to_pylist():
+                f = np.frombuffer(x, np.int32)
+                at = np.minimum(np.searchsorted(known, f), len(known) - 1)
+                out.append(at[known[at] == f].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["positive", "id", "held"])
+
+    return run
+
+
+def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], known: np.ndarray, prior: float, seed: int = 0) -> dict:
+    """Fit on the places in ``known`` of the features that each text has."""
     base = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -4.0
-    blank = {"known": np.zeros(0, np.int64), "weights": np.zeros(1), "bias": base, "slope": 1.0, "offset": 0.0}
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return blank
-    ids, place = np.unique(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int32)]), return_inverse=True)
-    at = sum(len(f) for f in positive)
-    p, u = (np.bincount(x, minlength=len(ids)).astype(float) for x in (place[:at], place[at:]))
-    n, m = len(positive), len(unlabelled)
-    pooled = (p + u) / (n + m)
-    z = (p / n - u / m) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
-    z[p + u < least] = 0
-    top = np.argsort(-np.abs(z), kind="stable")[:most_features]
-    known = np.sort(ids[top[np.abs(z[top]) >= least_z]]).astype(np.int64)  # beyond what chance makes of so many features
-    if not len(known):
-        return blank
+    if not positive or not unlabelled or not 0 < prior < 1 or not len(known):
+        return {"known": np.zeros(0, np.int64), "weights": np.zeros(1), "bias": base, "slope": 1.0, "offset": 0.0}
 
     def dense(rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), len(known)), np.float32)
         for i, f in enumerate(rows):
-            k = np.minimum(np.searchsorted(known, f), len(known) - 1)
-            out[i, k[known[k] == f]] = 1
+            out[i, f] = 1
         return out
 
     a, b = dense(positive), dense(unlabelled)
@@ -95,21 +104,39 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return {"known": known, "weights": w[:-1], "bias": float(w[-1]), "slope": slope, "offset": offset}
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", most_positive: int = 5000, most_unlabelled: int = 12000, seed: int = 4) -> dict:
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text",
+    most_positive: int = 5000, most_unlabelled: int = 12000, most_features: int = 600, least: int = 5, least_z: float = 5.0, seed: int = 4,
+) -> dict:
     """Train on at most ``most_positive`` confirmed toxic texts and ``most_unlabelled`` others, of the learnable rows only.
 
-    ``learnable`` is a condition on the column ``id``. The class prior is the share of toxic among their labels.
+    ``learnable`` is a condition on the column ``id``. The class prior is the share of toxic among their labels. The
+    features kept are the ``most_features`` whose rates differ most between both samples, and by ``least_z`` deviations.
     """
     ship(docs.sparkSession)
     usable = labels.select(F.col(key).alias("id"), F.col("toxic").alias("y")).where("y is not null and id is not null").where(learnable)
     counts = usable.agg(F.count("*").alias("n"), F.sum("y").alias("k")).first()
     prior = (counts["k"] or 0) / max(1, counts["n"])
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(learnable)
-    chosen = sample(usable.where("y = 1").select("id").distinct(), most_positive, seed)
-    positive = collect_features(texts.join(F.broadcast(chosen), "id"), GRAMS)  # at most most_positive ids are broadcast
-    others = sample(texts.select("id").where("id is not null").distinct(), most_unlabelled, seed + 1)
-    unlabelled = collect_features(texts.join(F.broadcast(others), "id"), GRAMS)
-    return fit_pu(positive, unlabelled, prior, seed=seed)
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(learnable)
+    some = sample(usable.where("y = 1").select("id").distinct(), most_positive, seed).withColumn("positive", F.lit(1))
+    others = sample(texts.select("id").where("id is not null").distinct(), most_unlabelled, seed + 1).withColumn("positive", F.lit(0))
+    chosen = cut(some.union(others))  # a bounded number of ids
+    rows = texts.join(F.broadcast(chosen.select("id").distinct()), "id").mapInArrow(feature_rows(GRAMS), "id long, features binary")
+    rows = cut(rows.join(F.broadcast(chosen), "id").select("positive", "id", "features"))
+    size = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    n, m = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    found = rows.select("positive", "features").mapInArrow(_counts, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    pooled = (F.col("p") + F.col("u")) / (n + m)
+    z = F.abs(F.col("p") / n - F.col("u") / m) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n + 1 / m))
+    # beyond what chance makes of so many features
+    top = found.where(F.col("p") + F.col("u") >= least).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features)
+    known = np.sort(np.array([r["feature"] for r in top.collect()], np.int64))
+    kept: dict[int, list[np.ndarray]] = {1: [], 0: []}
+    if len(known):
+        got = rows.mapInArrow(_held(known), "positive int, id long, held binary").collect()
+        for r in sorted(got, key=lambda r: (r["id"], bytes(r["held"]))):
+            kept[r["positive"]].append(np.frombuffer(r["held"], np.int32))
+    return fit_pu(kept[1], kept[0], known, prior, seed=seed)
 
 
 def score_toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
