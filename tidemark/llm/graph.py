@@ -11,16 +11,25 @@ from tidemark.session import cut
 def components(edges: DataFrame) -> DataFrame:
     """``a long, b long`` to ``id, component``: the smallest id of the component, for every id on an edge.
 
-    Every round each vertex is named after its smallest neighbour, if that is smaller, and the edges are renamed and made
-    distinct; a round at least halves the depth of what is left, and nothing is gathered in one task but the minimum of a
-    vertex, which is pre-aggregated.
+    Every round each vertex points at its smallest neighbour, if that is smaller. Pointers are doubled until they end at
+    roots, then all vertices take their root's name and the edges are renamed and made distinct. Roots of a round that
+    still touch go on. Nothing is gathered in one task but the minimum of a vertex, which is pre-aggregated.
     """
-    edges = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = cut(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    edges = edges.where("a <> b")
+    edges = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+    first = True
     while not edges.isEmpty():
-        parent = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
-        pa, pb = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        roots = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        while True:
+            above = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            step = cut(roots.join(above, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            roots = step.select("a", "p")
+            if step.where("moved").isEmpty():
+                break
+        pa, pb = roots.select("a", F.col("p").alias("pa")), roots.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-        named = parent.select(F.col("a").alias("component"), "p")
-        labels = cut(labels.join(named, "component", "left").select("id", F.coalesce("p", "component").alias("component")))
+        named = roots.select(F.col("a").alias("component"), "p")
+        labels = named.withColumnsRenamed({"component": "id", "p": "component"}) if first else labels.join(named, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+        labels, first = cut(labels), False
     return labels
