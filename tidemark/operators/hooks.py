@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.urls import route_matches
 
@@ -107,9 +108,7 @@ def extract_with_model(df: DataFrame, ask: Callable[[str], str], fields: list[st
     A column that is there already stays as it is, and ``url`` is never asked for. An answer that fails gives nulls.
     """
     new = [f for f in fields if f"ai_{f}" not in df.columns and f != "url"]
-    schema = df.schema
-    for f in new:
-        schema = schema.add(f"ai_{f}", "string") if f"ai_{f}" not in schema.names else schema
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"ai_{f}", T.StringType()) for f in new)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
