@@ -57,6 +57,7 @@ class Notices:
         self.notices = [(n.encode().decode("latin-1"), label) for n, label in notices]
         self.errors = [errors_allowed(n, rate) for n, _ in self.notices]
         self.patterns = []
+        self.grams = [[n[k : k + 3] for k in range(len(n) - 2)] for n, _ in self.notices]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, ((notice, _), e) in enumerate(zip(self.notices, self.errors)):
             self.patterns.append(regex.compile(rf"(?b)(?<![^ \n])(?:{regex.escape(notice, literal_spaces=True)}){{e<={e}}}(?![^ \n])"))
@@ -84,9 +85,15 @@ class Notices:
         hits = []
         for i, spans in wide.items():
             for low, high in spans:
-                for m in self.patterns[i].finditer(text, max(0, low), min(len(text), high)):
+                # a piece with a byte around it for what the pattern asks of its neighbours
+                begin = max(0, low - 1)
+                segment = text[begin : high + 1]
+                # e errors spoil 3 e of a notice's trigrams at most (q-gram lemma): too few left, no match
+                if sum(g in segment for g in self.grams[i]) < len(self.grams[i]) - 3 * self.errors[i]:
+                    continue
+                for m in self.patterns[i].finditer(segment):
                     if "\n" not in m.group():
-                        hits.append((sum(m.fuzzy_counts) / len(self.notices[i][0]), -len(self.notices[i][0]), m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                        hits.append((sum(m.fuzzy_counts) / len(self.notices[i][0]), -len(self.notices[i][0]), begin + m.start(), begin + m.end(), i, sum(m.fuzzy_counts)))
         hits.sort()
         kept: list[tuple[int, int, int, int]] = []
         for _, _, a, b, i, errors in hits:
