@@ -13,7 +13,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 LOWER = np.zeros(256, np.uint8)
 LOWER[48:58] = np.arange(48, 58)
