@@ -81,6 +81,12 @@ def test_repeats_equal_brute_force(spark, rows):
     assert sorted_rows(S.remove_repeats(table(spark, small), group_bytes=2000, part_bytes=1500), *COLS) == brute_repeats(small)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 8])
+def test_repeats_with_hot_anchors_equal_brute_force(spark, rows, hot):
+    small = [r for r in rows if r[0] != 409]
+    assert sorted_rows(S.remove_repeats(table(spark, small), group_bytes=2000, part_bytes=1500, hot=hot), *COLS) == brute_repeats(small)
+
+
 def test_repeats_of_periodic_and_nested_texts(spark):
     rng = random.Random(1)
     shared = words(rng, 40)
@@ -167,7 +173,7 @@ def test_near_duplicates_equal_brute_force(spark, rows):
 
     for i, a in keyed:
         for j, b in keyed:
-            if i < j and overlap(a, b) >= 0.6:
+            if i < j and overlap(a, b) >= N.THRESHOLD:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     assert {i: r.class_id for i, r in got.items()} == {i: find(i) for i in parent}

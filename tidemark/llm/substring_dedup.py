@@ -6,6 +6,9 @@ repeat is among the anchors of equal grams, which meet in one partition however
 
 1. Documents are spread over text groups. Each group sends the distinct hashes of its anchors, packed, to the hash's
    partition, which answers with a bit for each hash that another group has too.
+   Hashes of very many occurrences are told apart from the rest: of those ("hot anchors") the windows are dealt with one by
+   one, each going to the partition of its own digest, and equal windows of a group as one row, so that the occurrences of
+   a hot anchor spread over all partitions.
 2. Each group cuts the context of its repeated anchors: what a repeat of LENGTH bytes around the anchor can reach. Equal
    contexts within a group are settled there and only those of the smallest document travel on.
 3. A partition sorts its anchored suffixes into an enhanced suffix array (sorted order and longest common prefixes). A scan
@@ -33,7 +36,9 @@ from tidemark.session import ship
 LENGTH = 50
 GRAM = 24
 _B = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 18
+_CHUNK = 1 << 16
+#: Anchors of more occurrences are hot.
+HOT = 50_000
 #: Stands for a null document id: larger than all.
 LAST = np.iinfo(np.int64).max
 
@@ -133,29 +138,50 @@ def _keys(h: np.ndarray, parts: int) -> np.ndarray:
 def _offer(parts: int, length: int, k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, raw, off = _group(table)
-        keys = np.unique(_keys(anchors(raw, off, length, k)[1], parts))
+        keys, times = np.unique(_keys(anchors(raw, off, length, k)[1], parts), return_counts=True)
         cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=U) << U(32))
         there = np.flatnonzero(np.diff(cuts))
-        blobs = [keys[cuts[p] : cuts[p + 1]].astype(np.uint32).tobytes() for p in there]
-        return pa.table({"p": pa.array(there, pa.int64()), "q": pa.array([key[0].as_py()] * len(there), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        hashes, counts = keys.astype(np.uint32), np.minimum(times, 65535).astype(np.uint16)
+        blobs = [hashes[cuts[p] : cuts[p + 1]].tobytes() for p in there]
+        often = [counts[cuts[p] : cuts[p + 1]].tobytes() for p in there]
+        return pa.table({"p": pa.array(there, pa.int64()), "q": pa.array([key[0].as_py()] * len(there), pa.int64()), "blob": pa.array(blobs, pa.binary()), "times": pa.array(often, pa.binary())})
 
     return run
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    qs, lists = table.column("q").to_numpy(), [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
-    everything = np.sort(np.concatenate(lists))
-    twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    masks, of = [], []
-    for q, own in zip(qs, lists):
-        bits = np.zeros(len(own), bool)
-        if len(twice):
-            bits = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
-        if bits.any():
-            masks.append(np.packbits(bits).tobytes())
-            of.append(q)
-    p = key[0].as_py()
-    return pa.table({"q": pa.array(of, pa.int64()), "p": pa.array([p] * len(of), pa.int64()), "mask": pa.array(masks, pa.binary())})
+def _answer(hot: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        qs, lists = table.column("q").to_numpy(), [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
+        times = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("times").to_pylist()])
+        everything = np.concatenate(lists)
+        order = np.argsort(everything, kind="stable")
+        values = everything[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        values, groups = values[starts], np.diff(np.append(starts, len(order)))
+        many = np.add.reduceat(times[order].astype(np.int64), starts)
+        repeated, crowded = groups > 1, many > hot
+        masks, heats, of = [], [], []
+        for q, own in zip(qs, lists):
+            at = np.searchsorted(values, own)
+            if repeated[at].any() or crowded[at].any():
+                masks.append(np.packbits(repeated[at]).tobytes())
+                heats.append(np.packbits(crowded[at]).tobytes() if crowded[at].any() else None)
+                of.append(q)
+        p = key[0].as_py()
+        return pa.table({"q": pa.array(of, pa.int64()), "p": pa.array([p] * len(of), pa.int64()), "mask": pa.array(masks, pa.binary()), "heat": pa.array(heats, pa.binary())})
+
+    return run
+
+
+def _windows(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of the windows that start there: two polynomials of different bases."""
+    out = []
+    for base in (_B, 0xBEA225F9EB34556D):
+        h = np.zeros(len(starts), U)
+        for i in range(length):
+            h = h * U(base) + raw[starts + i].astype(U) + U(1)
+        out.append(mix(h))
+    return out[0], out[1]
 
 
 def _contexts(parts: int, length: int, k: int):
@@ -163,7 +189,7 @@ def _contexts(parts: int, length: int, k: int):
 
     def run(key: tuple, docs: pa.Table, masks: pa.Table) -> pa.Table:
         q = key[0].as_py()
-        empty = pa.table({"p": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        empty = pa.table({"p": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         if not docs.num_rows:
             return empty
         ids, raw, off = _group(docs)
@@ -172,18 +198,49 @@ def _contexts(parts: int, length: int, k: int):
             return empty
         keys = _keys(h, parts)
         sorted_keys, first = np.unique(keys, return_inverse=True)
-        wanted = np.zeros(len(sorted_keys), bool)
+        wanted, crowded = np.zeros(len(sorted_keys), bool), np.zeros(len(sorted_keys), bool)
         cuts = np.searchsorted(sorted_keys, np.arange(parts + 1, dtype=U) << U(32))
-        for p, mask in zip(masks.column("p").to_pylist(), masks.column("mask").to_pylist()):
+        for p, mask, heat in zip(*(masks.column(c).to_pylist() for c in ("p", "mask", "heat"))):
             n = cuts[p + 1] - cuts[p]
             wanted[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
+            if heat is not None:
+                crowded[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(heat, np.uint8), count=n).astype(bool)
         doc = np.searchsorted(off, at, "right") - 1
         # hashes of several documents of this group
         low, high = np.full(len(sorted_keys), len(ids)), np.full(len(sorted_keys), -1)
         np.minimum.at(low, first, doc)
         np.maximum.at(high, first, doc)
         wanted |= low != high
-        keep = wanted[first]
+        out_p, kinds, blobs = [], [], []
+        if crowded.any():
+            hot_at = at[crowded[first]]
+            # every window around a hot anchor, once
+            starts = np.unique(hot_at[:, None] - np.arange(reach + 1))
+            starts = starts[starts >= 0]
+            own = np.searchsorted(off, starts, "right") - 1
+            inside = starts + length <= off[own + 1]
+            starts, own = starts[inside], own[inside]
+            one, two = _windows(raw, starts, length)
+            order = np.lexsort((ids[own], two, one))
+            starts, own, one, two = starts[order], own[order], one[order], two[order]
+            begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(order) else order
+            least = np.repeat(ids[own[begin]], np.diff(np.append(begin, len(order)))) if len(order) else ids[:0]
+            place = starts - off[own]
+            settled = ids[own] > least
+            if settled.any():
+                blobs.append(_pack(own[settled].astype(np.uint32), place[settled].astype(np.uint32), (place[settled] + length).astype(np.uint32)))
+                out_p.append(-1 - q)
+                kinds.append(0)
+            rest = np.flatnonzero(~settled)
+            part = (one[rest] % U(parts)).astype(np.int64)
+            rest = rest[np.argsort(part, kind="stable")]
+            edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                o = rest[edges[p] : edges[p + 1]]
+                blobs.append(_pack(one[o], two[o], ids[own[o]], own[o].astype(np.uint32), place[o].astype(np.uint32)))
+                out_p.append(int(p))
+                kinds.append(2)
+        keep = (wanted & ~crowded)[first]
         at, keys, doc = at[keep], keys[keep], doc[keep]
         left = np.minimum(at - off[doc], reach).astype(np.uint8)
         right = np.minimum(off[doc + 1] - at, length).astype(np.uint8)
@@ -206,7 +263,6 @@ def _contexts(parts: int, length: int, k: int):
         starts = np.flatnonzero(~same)
         least = np.repeat(ids[doc[order[starts]]], np.diff(np.append(starts, len(order)))) if len(order) else ids[:0]
         settled = ids[doc[order]] > least
-        out_p, blobs = [], []
         own = order[settled]
         if len(own):
             begin = at[own] - off[doc[own]]
@@ -214,6 +270,7 @@ def _contexts(parts: int, length: int, k: int):
             by = np.lexsort((begin[keep], doc[own][keep]))
             blobs.append(_pack(*(v[keep][by].astype(np.uint32) for v in (doc[own], begin - left[own], begin + right[own]))))
             out_p.append(-1 - q)
+            kinds.append(0)
         rest = np.sort(order[~settled])
         part = (keys[rest] >> U(32)).astype(np.int64)
         rest = rest[np.argsort(part, kind="stable")]
@@ -222,7 +279,8 @@ def _contexts(parts: int, length: int, k: int):
             o = rest[cuts[p] : cuts[p + 1]]
             blobs.append(_pack(ids[doc[o]], doc[o].astype(np.uint32), (at[o] - off[doc[o]]).astype(np.uint32), left[o], right[o], context[o]))
             out_p.append(int(p))
-        return pa.table({"p": pa.array(out_p, pa.int64()), "q": pa.array([q] * len(out_p), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            kinds.append(1)
+        return pa.table({"p": pa.array(out_p, pa.int64()), "q": pa.array([q] * len(out_p), pa.int64()), "kind": pa.array(kinds, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -332,6 +390,25 @@ def _mark(length: int, k: int):
         qs, blobs = table.column("q").to_numpy(), table.column("blob").to_pylist()
         if key[0].as_py() < 0:
             return pa.table({"q": pa.array(qs, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        sorts = table.column("kind").to_numpy()
+        out_q, out = [], []
+        if (sorts == 2).any():
+            asked = [(q, _unpack(b, "<u8", "<u8", "<i8", "<u4", "<u4")) for q, b, s in zip(qs, blobs, sorts) if s == 2]
+            one, two, who = (np.concatenate([a[1][i] for a in asked]) for i in range(3))
+            order = np.lexsort((who, two, one))
+            starts = np.flatnonzero(np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]))
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(who[order[starts]], np.diff(np.append(starts, len(order))))
+            at = 0
+            for q, a in asked:
+                hit = who[at : at + len(a[0])] > least[at : at + len(a[0])]
+                at += len(a[0])
+                if hit.any():
+                    out_q.append(q)
+                    out.append(_pack(a[3][hit], a[4][hit], a[4][hit] + np.uint32(length)))
+        qs, blobs = qs[sorts == 1], [b for b, s in zip(blobs, sorts) if s == 1]
+        if not blobs:
+            return pa.table({"q": pa.array(out_q, pa.int64()), "blob": pa.array(out, pa.binary())})
         parts = [_unpack(b, *kinds) for b in blobs]
         del blobs
         ids, doc, at, left, right = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -339,7 +416,6 @@ def _mark(length: int, k: int):
         of = np.repeat(np.arange(len(qs)), [len(p[0]) for p in parts])
         del parts
         far_left, far_right = repeats(ids, left.astype(np.int64), right.astype(np.int64), context, length, k)
-        out_q, out = [], []
         for i in range(len(qs)):
             a, b = np.searchsorted(of, [i, i + 1])
             o = a + np.flatnonzero(far_right[a:b])
@@ -379,7 +455,7 @@ def _strip(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = 8 << 20, part_bytes: int = 24 << 20
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = 8 << 20, part_bytes: int = 24 << 20, hot: int = HOT
 ) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` per row: what is left when repeats of smaller keys are taken out.
 
@@ -388,6 +464,7 @@ def remove_repeats(
     key is larger than any number. Null texts are empty; an empty table gives no rows. Other columns are ignored.
 
     ``group_bytes`` and ``part_bytes`` size the tasks; beyond 128 GB the groups grow, up to 256 MB, to keep messages long.
+    Anchors of more than ``hot`` occurrences are spread by window.
     """
     ship(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -395,9 +472,9 @@ def remove_repeats(
     groups = max(1, -(-total // min(256 << 20, max(group_bytes, total >> 14))))
     parts = max(1, -(-total // max(part_bytes, min(256 << 20, total >> 14))))
     placed = base.withColumn("q", F.pmod(F.xxhash64("ord", "text"), F.lit(groups)))
-    offered = placed.groupBy("q").applyInArrow(_offer(parts, length, gram), "p long, q long, blob binary")
-    masks = offered.groupBy("p").applyInArrow(_answer, "q long, p long, mask binary")
-    contexts = placed.groupBy("q").cogroup(masks.groupBy("q")).applyInArrow(_contexts(parts, length, gram), "p long, q long, blob binary")
+    offered = placed.groupBy("q").applyInArrow(_offer(parts, length, gram), "p long, q long, blob binary, times binary")
+    masks = offered.groupBy("p").applyInArrow(_answer(hot), "q long, p long, mask binary, heat binary")
+    contexts = placed.groupBy("q").cogroup(masks.groupBy("q")).applyInArrow(_contexts(parts, length, gram), "p long, q long, kind int, blob binary")
     marks = contexts.groupBy("p").applyInArrow(_mark(length, gram), "q long, blob binary")
     out = placed.groupBy("q").cogroup(marks.groupBy("q")).applyInArrow(_strip, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("ord") != int(LAST), F.col("ord")).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
