@@ -45,7 +45,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies", "size", "source_size", "target", "taken")
     mix = cut(mix.dropDuplicates(["_id"]))
     mix = F.broadcast(mix) if mix.count() <= 1_000_000 else mix  # 56 bytes a row
-    return docs.join(mix, docs.doc_id.eqNullSafe(F.col("_id"))).drop("_id")
+    kept = docs.select(*[c for c in docs.columns if c not in mix.columns])  # columns of those names give way
+    return kept.join(mix, kept["doc_id"].eqNullSafe(mix["_id"])).drop("_id")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminated), ("mix", mixed)]

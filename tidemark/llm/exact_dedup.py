@@ -83,4 +83,4 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     gone = cut(found.select(F.col(key).alias("_gone"), F.unhex("text_sha256").alias("_d")).distinct())
     gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     digest = F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256))
-    return docs.join(gone, (digest == F.col("_d")) & docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, (digest == gone["_d"]) & docs[key].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -207,4 +207,4 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """The rows of ``docs`` that stay, with their columns; the keys that go are looked up on the map side while they are few."""
     gone = cut(near_duplicates(docs, key, text, **kw).where("not kept").select(F.col(key).alias("_gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
-    return docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
