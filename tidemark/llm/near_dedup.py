@@ -28,8 +28,8 @@ from tidemark.llm.graph import components
 from tidemark.session import cut, ship
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
-THRESHOLD = 0.6
+BANDS, ROWS = 40, 4
+THRESHOLD = 0.55
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
