@@ -67,7 +67,7 @@ def py_quality(t):
         return 0
     score = 10 - 3 * (len(t) < 10) - 2 * bool(re.search("<[^>]+>", t)) - 3 * bool(re.search("[À-ÿ]{3,}", t))
     score -= 2 * (len(t) > 10 and len(set(t)) * 10 < len(t))
-    special = len(re.findall(r"[^\w\s一-鿿.,;:!?，。；：！？、\"（）-]", t))
+    special = len(re.findall(r"[^\w\s一-鿿。，、；：！？（）!?:;,.\"-]", t))
     return max(0, score - 2 * (special * 10 > 3 * len(t)))
 
 

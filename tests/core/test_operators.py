@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean, crawl, dedup, frontier, verify
-from tidemark.operators.hooks import Hooks, client_config, extract_with_model, parse_answer
+from tidemark.operators.hooks import Hooks, analyze_with_model, clean_with_model, client_config, extract_with_model, parse_answer
 from tidemark.operators.schedule import Scheduler
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental as inc
@@ -186,6 +186,8 @@ def test_history(spark):
     assert [r.url for r in frontier.evict_oldest(history, 1).collect()] == ["a"]
     again = frontier.mark_visited(history, spark.createDataFrame([("a", "h9", now + datetime.timedelta(days=1), "A2")], inc.HISTORY))
     assert {r.url: r.hash for r in again.collect()}["a"] == "h9"
+    stats = frontier.history_stats(history.unionByName(history)).first()
+    assert (stats.total_visited, stats.total_hashes) == (6, 3)
     lengths = spark.createDataFrame([("a", "h", 100)], "url string, hash string, length long")
     pages = spark.createDataFrame([("a", "x" * 120), ("b", "y")], "url string, content string")
     assert {r.url: r.changed for r in frontier.content_changed(pages, lengths, "length").collect()} == {"a": False, "b": True}
@@ -201,6 +203,16 @@ def test_walks(spark):
     assert [(r["rank"], r.url) for r in crawl.list_detail(lists, pages).orderBy("rank").collect()] == [(0, "http://e/?page=2"), (2, "http://e/?page=3")]
 
 
+def test_pagination_methods(spark):
+    rows = [
+        (1, "http://e/?page=3", '<div class="pagination"><a href="?page=9">9</a></div>'), (2, "http://e/?page=3", '<link rel="next" href="/n">'), (3, "http://e/x", '<a class="next" href="/m">go</a>'),
+        (4, "http://e/y", "<p>nothing</p>"),
+    ]
+    got = {r.page_id: r for r in crawl.detect_pagination(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [(got[i].method, got[i].next_url, got[i].page_number) for i in (1, 2, 3, 4)] == [("url_pattern", "http://e/?page=4", 3), ("link_rel", "http://e/n", 3), ("selector", "http://e/m", 1), ("none", None, 1)]
+    assert got[1].total_pages == 9 and got[1].pagination_urls == ["http://e/?page=9"]
+
+
 def test_hooks_and_models(spark):
     df = spark.createDataFrame([("http://e/en/1", "some text"), ("http://e/de/2", None)], "url string, text string")
     h, calls = Hooks(), []
@@ -215,6 +227,11 @@ def test_hooks_and_models(spark):
     assert parse_answer('```json\n{"a": 1}\n```') == {"a": 1} and parse_answer("no") == {"raw_extraction": "no"}
     got = extract_with_model(df, lambda p: '{"topic": "%s"}' % ("x" if "some" in p else "y"), ["topic", "url"])
     assert sorted(r.ai_topic for r in got.collect()) == ["x", "y"] and "ai_url" not in got.columns
+    two = spark.createDataFrame([("http://e/1", " raw "), ("http://e/2", "kept")], "url string, text string").coalesce(1)
+    swept = clean_with_model(two, lambda p: '```json\n[{"text": "clean", "url": "no"}]\n```')
+    assert {r.url: r.text for r in swept.collect()} == {"http://e/1": "clean", "http://e/2": "kept"}
+    assert {r.text for r in clean_with_model(two, lambda p: "nonsense").collect()} == {" raw ", "kept"}
+    assert {r.structure for r in analyze_with_model(two, lambda p: '{"page_type": "list"}', "text").collect()} == {'{"page_type": "list"}'}
     assert client_config({"model": "m"}, {"AI_MODEL": "n"})["model"] == "n"
 
 

@@ -52,7 +52,7 @@ def decode_entities(c: Column, numeric: bool = True) -> Column:
 
 def strip_html(c: Column, numeric: bool = True) -> Column:
     """Markup off: scripts and styles with their bodies, comments, block tags to line feeds, other tags, then entities."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+    c = F.regexp_replace(c, r"(?is)<(style|script)[^>]*>.*?</\1>", "")
     c = F.regexp_replace(c, "(?s)<!--.*?-->", "")
     # a prefix of the tag name is enough here: <pre> and <link> make line feeds too
     c = F.regexp_replace(c, "(?i)<(?:h[1-6]|div|br|tr|li|p)[^>]*>", "\n")
@@ -118,7 +118,7 @@ def extract_prices(c: Column) -> Column:
 
 MOJIBAKE = "[À-ÿ]{3,}"
 #: The apostrophe isn't among the ordinary characters; the double quote is.
-ORDINARY = rf"[\p{{L}}\p{{N}}_\n{_BLANK}.,;:!?，。；：！？、\"（）-]"
+ORDINARY = rf"[\p{{L}}\p{{N}}_\n{_BLANK}。，、；：！？（）!?:;,.\"-]"
 
 
 def has_mojibake(c: Column) -> Column:

@@ -55,7 +55,7 @@ _ARTICLE = (
     "about article author bbs blob blog category commit commits doc docs documentation forum help issue issues manual misc news post posts pull pulls source src "
     "support tag tags tree wiki"
 ).split()
-_MARKERS = "pdb debug symbols webinstall online stub embed src source sources changelog news readme license sha256 md5 sig asc".split()
+_MARKERS = "asc changelog debug embed license md5 news online pdb readme sha256 sig source sources src stub symbols webinstall".split()  # of several, the first names the reason
 _PY = r"(?i)python-[0-9]+\.[0-9]+\.[0-9]+(?:(?:rc|a|b)[0-9]+)?"
 
 
@@ -95,7 +95,7 @@ def classify_url(url: Column, context: Column | None = None, blocked: tuple[str,
         .when(lower.contains("win32"), "32-bit installer").when(lower.contains("pdb"), "debug symbols").otherwise("not the installer wanted")
     )
     rule = F.when(url.isNull() | (url == ""), _class("blocked", 0.9, "empty URL"))
-    rule = rule.when(scheme.isin("javascript", "mailto", "tel", "data"), _class("blocked", 0.95, F.concat(F.lit("scheme: "), scheme)))
+    rule = rule.when(scheme.isin(*"data javascript mailto tel".split()), _class("blocked", 0.95, F.concat(F.lit("scheme: "), scheme)))
     rule = rule.when(u.startswith("#"), _class("blocked", 0.95, "anchor"))
     rule = rule.when(lower.startswith("cloudreve://"), _class("netdisk_share", 0.95, "cloudreve scheme", provider="cloudreve"))
     for provider, domains in NETDISKS.items():
@@ -112,9 +112,9 @@ def classify_url(url: Column, context: Column | None = None, blocked: tuple[str,
     rule = rule.when(python & direct, _class("direct_file", 0.9, "Python amd64, version unknown"))
     rule = rule.when(python & other, _class("blocked", 0.95, F.concat(F.lit("Python"), shown, F.lit(": "), why), python_version=F.ltrim(shown)))
     rule = rule.when(python & u.rlike("(?i)/python-[0-9]+/?$"), _class("blocked", 0.9, "old version directory"))
-    rule = rule.when(python & host.isin("hg.python.org", "svn.python.org", "bugs.python.org"), _class("blocked", 0.95, F.concat(F.lit("not a download host: "), host)))
-    rule = rule.when(host.endswith(".python.org") & ~host.isin("www.python.org", "downloads.python.org"), _class("blocked", 0.85, F.concat(F.lit("not a download subdomain: "), host)))
-    rule = rule.when(python & ext.isin(".asc", ".md5", ".sha1", ".sha256", ".sha512", ".sig", ".txt"), _class("blocked", 0.9, F.concat(F.lit("checksum or signature "), ext)))
+    rule = rule.when(python & host.isin(*(f"{x}.python.org" for x in ("bugs", "hg", "svn"))), _class("blocked", 0.95, F.concat(F.lit("not a download host: "), host)))
+    rule = rule.when(host.endswith(".python.org") & ~host.isin(*(f"{x}.python.org" for x in ("downloads", "www"))), _class("blocked", 0.85, F.concat(F.lit("not a download subdomain: "), host)))
+    rule = rule.when(python & ext.isin(*(f".{x}" for x in "asc md5 sha1 sha256 sha512 sig txt".split())), _class("blocked", 0.9, F.concat(F.lit("checksum or signature "), ext)))
     rule = rule.when(((host == "python.org") | host.endswith(".python.org")) & (ext != "") & ~ext.isin(*files), _class("blocked", 0.85, "not a file type wanted of python.org"))
     marked = F.lit(None).cast("string")
     for m in reversed(_MARKERS):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 STAGES = ("alpha", "beta", "rc", "final")
 _NUMBERS = r"(\d{1,9})\.(\d{1,9})\.(\d{1,9})"
 PYTHON = rf"(?i)python-{_NUMBERS}(?:(rc|a|b)(\d{{1,9}}))?"
-GENERIC = rf"(?i)v?{_NUMBERS}(?:[-_. ]?(alpha|beta|rc|a|b|r)[-_. ]?(\d{{1,9}}))?"
+GENERIC = rf"(?i)v?{_NUMBERS}(?:[ ._-]?(beta|alpha|rc|r|b|a)[ ._-]?(\d{{1,9}}))?"
 
 
 def _struct(c: Column, pattern: str) -> Column:

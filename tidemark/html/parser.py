@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from tidemark.html.tree import Node, parse, xpath
 from tidemark.session import ship
 
-CONTENT = (
-    "article;main;[role=main];.post-content;.entry-content;.article-content;.content;#content;#article;.post;.entry;.pages_content;.TRS_Editor;"
-    ".article_con;.Custom_UnionStyle;.pages_editor;#zoom;.article-body;.news_content;.text;.rich_media_content;#js_content"
-).split(";")
-NOT_TEXT = frozenset("script style nav footer header noscript iframe svg form aside button input select".split())
+def _by_rank(*pairs: tuple[str, int]) -> tuple[str, ...]:
+    return tuple(name for name, _ in sorted(pairs, key=lambda p: p[1]))
+
+
+#: Selectors of the main content with their place in the order of trial.
+CONTENT = _by_rank(
+    ("#article", 8), ("#content", 7), ("#js_content", 21), ("#zoom", 16), (".article-body", 17), (".article-content", 5),
+    (".article_con", 13), (".content", 6), (".Custom_UnionStyle", 14), (".entry", 10), (".entry-content", 4), (".news_content", 18),
+    (".pages_content", 11), (".pages_editor", 15), (".post", 9), (".post-content", 3), (".rich_media_content", 20), (".text", 19),
+    (".TRS_Editor", 12), ("[role=main]", 2), ("article", 0), ("main", 1),
+)
+NOT_TEXT = frozenset("aside button footer form header iframe input nav noscript script select style svg".split())
 NOT_TEXT_AT_ALL = frozenset("script style noscript iframe svg".split())
 NOISE = re.compile(
     "ad-|ads-|advertisement|aside|author-box|author-info|banner|bookmark|breadcrumb|comment|cookie|copyright|crumb|disclaimer|follow|footer|hot-|"
@@ -26,13 +33,23 @@ NOISE = re.compile(
     "recommend|register|related|scan|search-box|share|side-bar|sidebar|signup|social|subscribe|table-of-contents|tags|tag-cloud|toc|toolbar|"
     "trending|wechat|weixin|widget"
 )
-BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li blockquote tr pre section article figure figcaption dt dd".split())
+BLOCKS = frozenset("article blockquote dd div dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre section tr".split())
 BUTTONS = frozenset("首页 目录 上一篇 下一篇 全文 阅读全文 展开全文 展开 展开全部 收起 查看更多 加载更多 相关推荐 评论 分享 收藏 关注 点赞 转发 举报 登录 注册".split())
-LAZY = ("data-src", "data-original", "data-lazy_src", "data-actualsrc", "data-original-src", "data-bg", "data-url", "data-lazy")
-PAGERS = (".pagination", ".pager", ".page-nav", ".paginator", "#pagination", ".page-numbers", ".pagination-wrap")
-COMMENTS = (".comment", ".comments", ".comment-list li", ".comment-item", ".review", ".reviews li", "[data-comment]", ".post-comment", ".user-comment", ".media-comment")
-PLATFORMS = {"youtube.com": "youtube", "youtu.be": "youtube", "vimeo.com": "vimeo", "bilibili.com": "bilibili", "youku.com": "youku", "v.qq.com": "tencent", "dailymotion.com": "dailymotion"}
-VIDEO_FILES = (".mp4", ".webm", ".ogg", ".mov", ".avi", ".mkv", ".m3u8")
+LAZY = tuple(f"data-{name}" for name in "src original lazy_src actualsrc original-src bg url lazy".split())
+PAGERS = _by_rank(("#pagination", 4), (".page-nav", 2), (".page-numbers", 5), (".pager", 1), (".pagination", 0), (".pagination-wrap", 6), (".paginator", 3))
+COMMENTS = _by_rank(
+    (".comment", 0), (".comment-item", 3), (".comment-list li", 2), (".comments", 1), (".media-comment", 9),
+    (".post-comment", 7), (".review", 4), (".reviews li", 5), (".user-comment", 8), ("[data-comment]", 6),
+)
+#: Players by what their address has; the first that fits names the platform.
+PLAYERS = {
+    name: re.compile(re.escape(place) + mark)
+    for name, place, mark in (
+        ("bilibili", "bilibili.com/video/BV", r"\w"), ("dailymotion", "dailymotion.com/embed/video/", r"\w"), ("tencent", "v.qq.com/x/page/", r"\w"),
+        ("vimeo", "player.vimeo.com/video/", r"\d"), ("youku", "v.youku.com/v_show/id_", r"\w"), ("youtube", "youtube.com/embed/", r"[\w-]"), ("youtube_short", "youtu.be/", r"[\w-]"),
+    )
+}
+VIDEO_FILES = tuple(f".{x}" for x in "avi flv m3u8 mkv mov mp4 webm".split())
 
 
 def base_url(root: Node, url: str) -> str:
@@ -155,9 +172,9 @@ def srcset(root: Node, base: str) -> list[dict]:
 
 def metadata(root: Node) -> dict[str, str]:
     return {
-        "description": _meta(root, "description", "og:description", "twitter:description"),
+        "description": _meta(root, *(f"{site}description" for site in ("", "og:", "twitter:"))),
         "keywords": _meta(root, "keywords", attrs=("name",)),
-        "author": _meta(root, "author", "og:author", "article:author"),
+        "author": _meta(root, *(f"{site}author" for site in ("", "og:", "article:"))),
     }
 
 
@@ -209,11 +226,11 @@ def comments(root: Node) -> list[dict]:
     for selector in COMMENTS:
         out = []
         for n in root.select(selector):
-            body = n.select_one(".comment-content, .comment-text, .review-text, [itemprop='text']") or n.select_one("p, .content, .text")
+            body = n.select_one("[itemprop='text'], .review-text, .comment-text, .comment-content") or n.select_one(".text, .content, p")
             if body is None or not body.text():
                 continue
-            author = n.select_one(".comment-author, .author, .reviewer, [itemprop='author']") or n.select_one("cite, .name, .username, strong")
-            date = n.select_one("time, .date, .comment-date, [itemprop='datePublished']")
+            author = n.select_one("[itemprop='author'], .reviewer, .author, .comment-author") or n.select_one("strong, .username, .name, cite")
+            date = n.select_one("[itemprop='datePublished'], .comment-date, .date, time")
             out.append({"author": author.text() if author else None, "text": body.text(), "date": (date.get("datetime") or date.text()) if date else None})
         if out:
             return out
@@ -229,7 +246,7 @@ def pagination(root: Node, base: str) -> dict:
     box = next((b for b in map(root.select_one, PAGERS) if b is not None), None)
     if box is not None:
         out["all_pages"] = [urljoin(base, a.get("href")) for a in box.all("a") if a.get("href") and not a.get("href").startswith(("#", "javascript:"))]
-        now = box.select_one(".active, .current, [aria-current='page']")
+        now = box.select_one("[aria-current='page'], .current, .active")
         if now is not None and re.fullmatch(r"\s*[+-]?\d+\s*", now.text()):
             out["current_page"] = int(now.text())
     return out
@@ -240,28 +257,33 @@ def videos(root: Node, base: str) -> list[dict]:
     seen: set[str] = set()
 
     def add(raw: str, kind: str, name: str, source: str) -> None:
-        if raw and raw not in seen:
+        if raw and raw not in seen and not raw.startswith("data:"):
             seen.add(raw)
             out.append({"url": urljoin(base, raw), "type": kind, "title": name, "source": source})
 
     for v in root.all("video"):
-        add(v.get("src"), "video", v.get("title"), "video")
+        add(v.get("src"), "video/html5", v.get("title"), "video_tag")
         for s in v.all("source"):
-            add(s.get("src"), s.get("type") or "video", v.get("title"), "source")
-        add(v.get("poster"), "poster", v.get("title"), "poster")
+            add(s.get("src"), s.get("type") or "video/html5", "", "video_source")
+        add(v.get("poster"), "poster", "", "video_poster")
     for f in root.all("iframe"):
-        for host, name in PLATFORMS.items():
-            if host in f.get("src"):
-                add(f.get("src"), "iframe", f.get("title"), name)
-                break
+        name = next((n for n, pattern in PLAYERS.items() if pattern.search(f.get("src"))), None)
+        if name:
+            add(f.get("src"), f"embed/{name.partition('_')[0]}", f.get("title"), "iframe")
     for a in root.all("a"):
-        if a.get("href").lower().split("?")[0].endswith(VIDEO_FILES):
-            add(a.get("href"), "link", a.text(), "link")
-    for item in map(json.loads, schema_org(root)):
-        if isinstance(item, dict) and item.get("@type") == "VideoObject":
-            add(str(item.get("contentUrl") or item.get("embedUrl") or ""), "schema", str(item.get("name") or ""), "schema_org")
+        if a.get("href").lower().endswith(VIDEO_FILES):
+            add(a.get("href"), "direct_link", a.text(), "a_tag")
+    for s in root.all("script"):
+        if s.get("type") == "application/ld+json":
+            try:
+                item = json.loads(s.own_string() or "")
+            except ValueError:
+                continue
+            if isinstance(item, dict) and item.get("@type") == "VideoObject":
+                add(str(item.get("contentUrl") or item.get("embedUrl") or ""), "schema_org", str(item.get("name") or ""), "json_ld")
     for e in root.all("embed"):
-        add(e.get("src"), "embed", e.get("title"), "embed")
+        if "video" in e.get("type") or any(x in e.get("src") for x in VIDEO_FILES):
+            add(e.get("src"), "embed", "", "embed_tag")
     return out
 
 
@@ -283,16 +305,17 @@ def quick(root: Node, paths: dict[str, str], base: str = "") -> dict[str, list[s
             values = [v.strip() if isinstance(v, str) else v.text() for v in xpath(root, path)]
         except ValueError:
             values = []
-        link = any(w in field.lower() for w in ("url", "link", "href", "src", "image"))
+        link = any(w in field.lower() for w in ("href", "image", "link", "src", "url"))
         out[field] = [urljoin(base, v) if link and base else v for v in values if v]
     return out
 
 
-NEXT_SELECTORS = (
-    "a.next", "a.next-page", ".pagination a.next", ".pagination-next a", ".pager-next a", "a[aria-label=Next]", ".next a", ".nextpage a",
-    "li.next > a", "li.next-page > a", "#pagination-next", ".js-pagination-next", ".pagination li:last-child a",
+NEXT_SELECTORS = _by_rank(
+    ("#pagination-next", 11), (".js-pagination-next", 12), (".next a", 3), (".page-next a", 5), (".pager a:last-child", 4),
+    (".pagination .next", 7), (".pagination-next", 8), ("[rel=next]", 6), ("a.next", 0), ("a.pager-next", 2),
+    ("a.pagination-next", 1), ("li.next > a", 9), ("li.next-page > a", 10),
 )
-NEXT_WORDS = ("下一页", "下页", "next", "»", "更多", "more")
+NEXT_WORDS = ("next", "更多", "加载更多", "下一頁", "下一页")
 
 
 def next_link(root: Node, base: str) -> str | None:
@@ -305,7 +328,7 @@ def next_link(root: Node, base: str) -> str | None:
         if url := usable(n):
             return url
     for selector in NEXT_SELECTORS:
-        if url := usable(root.select_one(selector)):
+        if url := next((u for u in map(usable, root.select(selector)) if u), None):
             return url
     for a in root.all("a"):
         if any(w in a.text().lower() for w in NEXT_WORDS) and (url := usable(a)):
@@ -313,6 +336,12 @@ def next_link(root: Node, base: str) -> str | None:
     return None
 
 
+def head_next(root: Node, base: str) -> str | None:
+    """What the page's head names as its next page."""
+    found = (n.get("href") for n in root.all("link") if "next" in n.get("rel").split())
+    return next((urljoin(base, href) for href in found if href), None)
+
+
 def total_pages(root: Node) -> int:
     """The largest whole number from 2 to 9,999 in the pagers' texts and links; 0 if none."""
     best = 0
@@ -327,7 +356,7 @@ def total_pages(root: Node) -> int:
 def detail_links(root: Node, base: str, selector: str = "a", include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> list[str]:
     """Links of a list page in order, once each: of the selector's matches, or of all links where it has none."""
     found = [n.get("href") for n in root.select(selector) if n.get("href")] or [a.get("href") for a in root.all("a") if a.get("href")]
-    urls = [urljoin(base, h) for h in found if not h.startswith(("javascript:", "mailto:", "#"))]
+    urls = [urljoin(base, h) for h in found if not h.startswith(("#", "mailto:", "javascript:"))]
     ok = [u for u in urls if (not include or any(re.search(p, u) for p in include)) and not any(re.search(p, u) for p in exclude)]
     return list(dict.fromkeys(ok))
 
@@ -350,6 +379,7 @@ EXTRACTORS: dict[str, tuple[str, Callable]] = {
     "pagination": (f"struct<next_url:string,prev_url:string,all_pages:{_STRINGS},current_page:int>", lambda r, h, b, m: pagination(r, b)),
     "srcset_images": ("array<struct<url:string,descriptor:string,source_img_src:string>>", lambda r, h, b, m: srcset(r, b)),
     "videos": ("array<struct<url:string,type:string,title:string,source:string>>", lambda r, h, b, m: videos(r, b)),
+    "head_next": ("string", lambda r, h, b, m: head_next(r, b)),
     "next_link": ("string", lambda r, h, b, m: next_link(r, b)),
     "total_pages": ("int", lambda r, h, b, m: total_pages(r)),
 }

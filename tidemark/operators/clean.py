@@ -101,7 +101,7 @@ def project(df: DataFrame, fields: list[str] | None = None, mapping: dict[str, s
 
 
 IMAGE = r"(?i)https?://\S+?\.(?:bmp|gif|jpe?g|png|svg|webp)"
-MARKDOWN = r"(?m)```|__|\*\*|\[.+?\]\(.+?\)|^(?:[*>]|#{1,6}|[0-9]+\.)\s"
+MARKDOWN = r"(?m)```|\[[^\n]+?\]\([^\n]+?\)|__|\*\*|^(?:[*>]|#{1,6}|[0-9]+\.)\s"
 
 
 def _features(df: DataFrame, order: str, sample: int, long_text: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import next_page_url
+from tidemark.functions.urls import next_page_url, page_pattern
+from tidemark.html.parser import parse_pages
 from tidemark.session import cut
 
 
@@ -44,3 +45,20 @@ def list_detail(lists: DataFrame, pages: DataFrame, links: str = "links", most:
 def top_details(edges: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """The first so many rows of each group."""
     return edges.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= most).drop("_r")
+
+
+def detect_pagination(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key, url, method, next_url, pagination_urls, page_number, total_pages`` of each page.
+
+    The URL's pattern says first; a rel=next link of the head overrides it; links that look like next ones count where
+    neither is there.
+    """
+    found = parse_pages(pages, ("pagination", "head_next", "next_link", "total_pages"), key, url, html)
+    pattern = page_pattern(F.col("url"))
+    by_url = next_page_url(F.col("url"))
+    method = F.when(F.col("head_next").isNotNull(), "link_rel").when(pattern.isNotNull(), "url_pattern").when(F.col("next_link").isNotNull(), "selector").otherwise("none")
+    following = F.coalesce("head_next", F.when(pattern.isNotNull(), by_url).otherwise(F.col("next_link")))
+    return found.select(
+        key, "url", method.alias("method"), following.alias("next_url"), F.array_sort(F.array_distinct("pagination.all_pages")).alias("pagination_urls"),
+        F.coalesce(pattern["current_page"], F.lit(1)).cast("long").alias("page_number"), "total_pages",
+    )

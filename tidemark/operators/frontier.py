@@ -137,3 +137,9 @@ def hook_stats(log: DataFrame, success: str, elapsed: str) -> DataFrame:
         n.alias("total"), good.alias("success"), (n - good).alias("failed"), F.coalesce(F.try_divide(good, n), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.avg(F.when(ok, F.col(elapsed))), F.lit(0.0)).alias("avg_time"),
     )
+
+
+def history_stats(history: DataFrame) -> DataFrame:
+    """URLs visited and distinct contents."""
+    hashes = history.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).agg(F.count("*").alias("total_hashes"))
+    return history.agg(F.count("*").alias("total_visited")).join(F.broadcast(hashes))  # one row each

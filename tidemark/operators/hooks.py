@@ -127,6 +127,57 @@ def extract_with_model(df: DataFrame, ask: Callable[[str], str], fields: list[st
     return df.mapInPandas(run, schema)
 
 
+CLEANED = ("ai_main_content", "ai_summary", "ai_title", "content", "summary", "text", "title")
+
+
+def clean_with_model(df: DataFrame, ask: Callable[[str], str], batch: int = 10, most: int = 8000, prompt: str = "Clean these records; answer with a JSON array of the same length:\n{data}") -> DataFrame:
+    """Records sent in batches; of the answer only text fields that aren't empty replace what was there.
+
+    Records that the answer leaves out, and batches whose answer is no list, stay as they are.
+    """
+    fields = [c for c in CLEANED if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            columns = {f: frame[f].tolist() for f in fields}
+            for a in range(0, len(frame), batch):
+                sent = [{f: columns[f][i] for f in fields} for i in range(a, min(a + batch, len(frame)))]
+                try:
+                    got = json.loads(FENCE.sub("", ask(prompt.format(data=json.dumps(sent, ensure_ascii=False)[:most])) or ""))
+                except Exception as e:
+                    log.warning("model failed: %s", e)
+                    continue
+                for i, answer in enumerate(got if isinstance(got, list) else ()):
+                    if isinstance(answer, dict) and a + i < len(frame) and i < batch:
+                        for f in fields:
+                            if answer.get(f):
+                                columns[f][a + i] = str(answer[f])
+            for f in fields:
+                frame[f] = pd.Series(columns[f], index=frame.index, dtype=object)
+            yield frame
+
+    return df.mapInPandas(run, df.schema)
+
+
+def analyze_with_model(df: DataFrame, ask: Callable[[str], str], html: str = "html", most: int = 15000, prompt: str = "Describe the structure of this page as a JSON object:\n{html}") -> DataFrame:
+    """A column ``structure``: the model's JSON on each page, or that of an unknown page."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for h in frame[html]:
+                try:
+                    got = parse_answer(ask(prompt.format(html=(h or "")[:most])))
+                except Exception as e:
+                    log.warning("model failed: %s", e)
+                    got = {"page_type": "unknown"}
+                out.append(json.dumps(got, ensure_ascii=False))
+            frame["structure"] = pd.Series(out, index=frame.index, dtype=object)
+            yield frame
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("structure", T.StringType())]))
+
+
 def client_config(config: dict, env: dict[str, str]) -> dict:
     """Options of a client: the environment over the file; no secret goes into a plan."""
     out = {"provider": "openai", "temperature": 0.1, "max_tokens": 4000} | {k: v for k, v in config.items() if v not in (None, "")}

@@ -117,7 +117,7 @@ def dup_counts(df: DataFrame, order: str = "ord", threshold: int = 5, min_length
     )
 
 
-GARBLED = "�{2,}|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]{3,}"
+GARBLED = "[\\x0e-\\x1f\\x0b\\x0c\\x00-\\x08]{3,}|\ufffd{2,}"
 CUT_SHORT = "(?d)[a-zA-Z一-鿿][,;:，、；：]$|…$|\\\\$"
 
 
@@ -125,7 +125,7 @@ def quality_counts(df: DataFrame, min_length: int = 50) -> DataFrame:
     """Too short, residual markup, garbled and cut short; one pass."""
     t = F.coalesce(alias_chain(df, "content", "text", "body", "description", "summary"), F.lit(""))
     return df.select(t.alias("t")).agg(
-        F.count_if((F.length("t") > 0) & (F.length("t") < min_length)).alias("too_short"), F.count_if(F.col("t").rlike("<[a-zA-Z/][^>]*>")).alias("has_html_residue"),
+        F.count_if((F.length("t") > 0) & (F.length("t") < min_length)).alias("too_short"), F.count_if(F.col("t").rlike("<[/A-Za-z][^>]*>")).alias("has_html_residue"),
         F.count_if(F.col("t").rlike(GARBLED)).alias("has_garbled"), F.count_if((F.length("t") > 200) & F.col("t").substr(F.length("t") - 4, F.lit(5)).rlike(CUT_SHORT)).alias("suspected_truncated"),
         F.count("*").alias("total"),
     )

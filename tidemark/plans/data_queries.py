@@ -177,7 +177,7 @@ def _dups(spark, d):
 @query(
     "quality_counts",
     r"""SELECT count_if(length(text) > 0 AND length(text) < 50)::BIGINT AS too_short, count_if(regexp_matches(text, '<[a-zA-Z/][^>]*>'))::BIGINT AS has_html_residue,
-count_if(regexp_matches(text, '\x{FFFD}{2,}|[\x00-\x08\x0b\x0c\x0e-\x1f]{3,}'))::BIGINT AS has_garbled,
+count_if(regexp_matches(text, '[\x0e-\x1f\x0b\x0c\x00-\x08]{3,}|\x{FFFD}{2,}'))::BIGINT AS has_garbled,
 count_if(length(text) > 200 AND regexp_matches(substr(text, length(text) - 4, 5), '[a-zA-Z\x{4e00}-\x{9fff}][,;:，、；：]\n?$|…\n?$|\\\n?$'))::BIGINT AS suspected_truncated, count(*)::BIGINT AS total FROM documents""",
 )
 def _qcounts(spark, d):

@@ -35,7 +35,7 @@ def ws(c: str) -> str:
 
 
 def tenths(c: str) -> str:
-    special = f"length(regexp_replace({c}, '[\\p{{L}}\\p{{N}}_\\n{_B}.,;:!?，。；：！？、\"（）-]', '', 'g'))"
+    special = f"length(regexp_replace({c}, '[\\p{{L}}\\p{{N}}_\\n{_B}。，、；：！？（）!?:;,.\"-]', '', 'g'))"
     return (
         f"CASE WHEN {c} IS NULL OR regexp_replace({c}, '[\\n{_B}]+', '', 'g') = '' THEN 0 ELSE greatest(0, 10 - (CASE WHEN length({c}) < 10 THEN 3 ELSE 0 END)"
         f" - (CASE WHEN regexp_matches({c}, '<[^>]+>') THEN 2 ELSE 0 END) - (CASE WHEN regexp_matches({c}, '[À-ÿ]{{3,}}') THEN 3 ELSE 0 END)"
@@ -66,7 +66,7 @@ for _n, _v in {k: v for k, v in X.ENTITIES.items() if k != "amp"}.items():
 @query(
     "strip_html",
     "WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS t FROM pages), "
-    "b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:br|p|div|h[1-6]|li|tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a), "
+    "b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:h[1-6]|div|br|tr|li|p)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a), "
     f"c AS (SELECT page_id, {_ENT.format(c='t')} AS t FROM b) SELECT page_id, regexp_replace(t, '^[\\n{_B}]+|[\\n{_B}]+$', '', 'g') AS text FROM c",
 )
 def _strip(spark, d):
@@ -170,7 +170,7 @@ def _rename(spark, d):
     r"""WITH r AS (SELECT text, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
 s AS (SELECT * FROM r WHERE CASE WHEN n > 30 THEN i % (n // 30) = 0 AND i // (n // 30) < 30 ELSE true END),
 a AS (SELECT any_value(n) AS n, sum(length(text) + length(lang) + length(source)) AS size, count(*) AS rows, count_if(length(text) > 500) AS long,
-  sum(len(regexp_extract_all(text, '<[^>]+>'))) AS tags, sum(len(regexp_extract_all(text, '(?m)```|__|\*\*|\[.+?\]\(.+?\)|^(?:[*>]|#{1,6}|[0-9]+\.)\s'))) AS marks FROM s)
+  sum(len(regexp_extract_all(text, '<[^>]+>'))) AS tags, sum(len(regexp_extract_all(text, '(?m)```|\[[^\n]+?\]\([^\n]+?\)|__|\*\*|^(?:[*>]|#{1,6}|[0-9]+\.)\s'))) AS marks FROM s)
 SELECT 'documents' AS "table", CASE WHEN NOT (size / rows > 300 OR long >= 2) THEN 'json' WHEN tags / size > 0.1 THEN 'json' WHEN marks / rows > 0.3 THEN 'markdown' WHEN n <= 100 THEN 'markdown' ELSE 'json' END AS format FROM a
 UNION ALL SELECT 'region', 'json' UNION ALL SELECT 'embeddings', 'json'""",
 )
@@ -255,7 +255,7 @@ def _dstats(spark, d):
 
 _VERSIONS = ["python-3.14.7-amd64.exe", "python-3.15.0a8-amd64.exe", "python-3.7.5rc1-embed-amd64.zip", "v1.2.3-beta2", "name_1.2.3", "none", "1.2.3 alpha 4"]
 _VALUES = ", ".join(f"('{v}')" for v in _VERSIONS)
-_GEN = r"(?i)v?([0-9]+)\.([0-9]+)\.([0-9]+)(?:[-_. ]?(alpha|beta|rc|a|b|r)[-_. ]?([0-9]+))?"
+_GEN = r"(?i)v?([0-9]+)\.([0-9]+)\.([0-9]+)(?:[ ._-]?(beta|alpha|rc|r|b|a)[ ._-]?([0-9]+))?"
 
 
 @query(

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.session import ship
 
-WRAPPERS = ("data", "items", "results", "records", "list")
+WRAPPERS = tuple("data items results records list".split())
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,7 @@ import sqlite3
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TextIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from tidemark.operators.clean import auto_format, project
 from tidemark.sources.readers import quoted
 
 log = logging.getLogger(__name__)
-SUFFIX = {"json": ".json", "jsonl": ".jsonl", "csv": ".csv", "sqlite": ".db", "markdown": ".md", "txt": ".txt", "docx": ".docx", "excel": ".xlsx"}
+SUFFIX = {name: f".{name}" for name in ("csv", "docx", "json", "jsonl", "txt")} | dict(excel=".xlsx", markdown=".md", sqlite=".db")
 BY_SUFFIX = {v: k for k, v in SUFFIX.items()} | {".sqlite": "sqlite", ".tsv": "csv"}
 #: What is tried after a format that failed.
 FALLBACK = {"docx": ("markdown", "txt", "json"), "markdown": ("txt", "json"), "excel": ("csv", "json"), "csv": ("json",), "sqlite": ("json",), "txt": ("json",)}
@@ -42,9 +43,13 @@ def _text(v) -> str | None:
     return json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else str(v)
 
 
+def _create(path: str, encoding: str = "utf-8") -> TextIO:
+    return Path(path).open("w", encoding=encoding, newline="\n")
+
+
 def write_json(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
+    with _create(path) as f:
         f.write("[")
         for n, row in enumerate(_rows(df), 1):
             f.write(("," if n > 1 else "") + "\n" + json.dumps(row, ensure_ascii=ensure_ascii, indent=2, default=str))
@@ -54,7 +59,7 @@ def write_json(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
 
 def write_jsonl(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
+    with _create(path) as f:
         for row in _rows(df):
             f.write(json.dumps(row, ensure_ascii=ensure_ascii, default=str) + "\n")
             n += 1
@@ -63,7 +68,7 @@ def write_jsonl(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> int:
     n = 0
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+    with _create(path, "utf-8-sig") as f:
         out = csv.writer(f, delimiter=delimiter)
         out.writerow(df.columns)
         for row in _rows(df):
@@ -91,7 +96,7 @@ def write_sqlite(df: DataFrame, path: str, table: str = "data", mode: str = "ove
 
 
 def _cell(v) -> str:
-    return ("" if v is None else _text(v)).replace("|", "\\|").replace("\r\n", " ").replace("\n", " ")
+    return ("" if v is None else _text(v)).translate({ord("|"): "\\|", ord("\n"): " ", ord("\r"): ""})
 
 
 def markdown_lines(df: DataFrame, index: list[dict] | None = None) -> Iterator[str]:
@@ -122,8 +127,8 @@ def write_markdown(df: DataFrame, path: str, index: list[dict] | None = None) ->
 def write_sections(df: DataFrame, path: str, clock: Callable[[], datetime.datetime] = datetime.datetime.now) -> int:
     """A section a record, under a heading with the time."""
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"# Export\n\n{clock():%Y-%m-%d %H:%M:%S}\n")
+    with _create(path) as f:
+        f.write(f"# Export\n\n{clock().isoformat(" ", "seconds")}\n")
         for n, row in enumerate(_rows(df), 1):
             f.write(f"\n## {row.get('title') or f'Record {n}'}\n\n" + "".join(f"- **{k}**: {_cell(v)}\n" for k, v in row.items() if k != "title"))
     return n
@@ -131,7 +136,7 @@ def write_sections(df: DataFrame, path: str, clock: Callable[[], datetime.dateti
 
 def write_txt(df: DataFrame, path: str) -> int:
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
+    with _create(path) as f:
         for row in _rows(df):
             for k, v in row.items():
                 shown = "(空)" if v is None else json.dumps(v, ensure_ascii=False, indent=2, default=str) if isinstance(v, (dict, list)) else v
@@ -252,7 +257,7 @@ def save(df: DataFrame, path: str, fmt: str | None = None, twin: bool = False, o
     if kind is None or kind in disabled:
         kind = fmt if fmt and fmt != "auto" else auto_format(df, order or df.columns[0], disabled=disabled).first()["format"]
     stem = path[: -len(suffix)] if suffix in BY_SUFFIX else path
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    Path(path).resolve().parent.mkdir(parents=True, exist_ok=True)
     for name in (kind, *FALLBACK.get(kind, ())):
         target = path if name == BY_SUFFIX.get(suffix) else stem + SUFFIX[name]
         try:
