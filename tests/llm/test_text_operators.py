@@ -184,6 +184,28 @@ def test_near_duplicates_equal_brute_force(spark, rows):
     assert "hub" in kept.columns and kept.where("doc_id is null").count() == 2
 
 
+def test_links_of_near_copies_equal_brute_force(spark, monkeypatch):
+    """Every pair of a group counts, not those with the smallest ids alone."""
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = random.Random(11)
+    made = []
+    for group, edits in enumerate((1, 3, 9)):
+        base = words(rng, 60).split()
+        for i in range(12):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            made.append((100 * group + i, " ".join(w), "a"))
+        made.append((100 * group + 50, made[-1][1], "b"))  # a copy is the same vertex
+    # 160 bands of 1: every linked pair is a candidate
+    pairs = {(i, j) for i, a, _ in made for j, b, _ in made if bag(a) != bag(b) and overlap(bag(a), bag(b)) >= N.THRESHOLD}
+    reps = {i: min(j for j, b, _ in made if bag(b) == bag(a)) for i, a, _ in made}
+    want = {i: sum(1 for x, y in pairs if x == i and reps[y] == y) for i, _, _ in made}
+    assert max(want.values()) == 11 and len({i // 100 for i, n in want.items() if 0 < n < 11})
+    got = {r.doc_id: r.n_links for r in N.near_duplicates(table(spark, made), bands=160, rows=1).collect()}
+    assert got == want
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     n, trials = 120, 150

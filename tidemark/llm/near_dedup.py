@@ -8,10 +8,9 @@ coordinate and those above the count are thinned out. Each point falls to one si
 earliest point, so two components agree with the probability of the weighted Jaccard similarity, exactly. Elements are
 dropped as soon as their next point is later than every component's.
 
-Signatures are banded. Equal bags are one vertex. In each bucket every vertex is linked to the bucket's smallest, the
-links are verified by the exact overlap of the multisets, and the verified links make classes. What a star may miss is
-then looked at: buckets with members of several classes compare those members with each other, but for pairs that the
-triangle inequality of the Jaccard distance to the bucket's smallest rules out.
+Signatures are banded. Equal bags are one vertex. In each bucket every vertex is compared with the bucket's smallest by the
+exact overlap of the multisets. All other pairs of a bucket are then looked at: the triangle inequality of the Jaccard
+distances to the bucket's smallest proves their link or rules it out, and the rest are compared too. The links make classes.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ from tidemark.session import cut, ship
 SHINGLE = 3
 BANDS, ROWS = 40, 4
 THRESHOLD = 0.55
+#: Members of a bucket that meet all its others in one task.
+BLOCK = 1000
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -150,7 +151,7 @@ def near_duplicates(
     """``key, class_id, rep_id, n_links, class_size, kept``: a row for each row of ``docs``.
 
     ``rep_id`` is the smallest key of those with the same bag, ``class_id`` the smallest key of the class, whose row alone
-    is kept. ``n_links`` counts the verified links of the row's bag with other bags; copies are not expanded into pairs.
+    is kept. ``n_links`` counts all bags that share a bucket with the row's and are linked to it; copies are not expanded into pairs.
     Texts without a word, null ones too, match nothing, nor do rows with a null key, which have no class and are kept. A
     text of fewer words than ``k`` is one shingle. Rows that repeat a key are one vertex and share its class. An empty
     table gives no rows. Other columns are ignored.
@@ -167,27 +168,28 @@ def near_duplicates(
     members = cut(members.distinct())
     vertices = members.where("id = rep").select("id")
     banded = worded.join(vertices, "id").select("id", F.explode("keys").alias("bucket"))
-    stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    spokes = cut(banded.join(stars, "bucket").where("id <> hub").select("bucket", "id", "hub"))
+    stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    spokes = cut(banded.join(stars, "bucket").where("id <> hub").select("bucket", "id", "hub", "n"))
     texts = base.where("id is not null")
     first = _overlaps(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), texts, k)
     linked = first.where(F.col("j") >= threshold).select("a", "b")
-    label = components(linked)
 
-    # members of a bucket whose classes differ, the hub's included
+    # the other pairs of a bucket: their distances to its hub prove a link, rule it out, or leave it to the texts
     far = 1 - threshold
-    l1, l2 = label.select("id", F.col("component").alias("c")), label.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
-    placed = spokes.join(first.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("j")).alias("d")), ["id", "hub"])
-    placed = placed.join(l1, "id", "left").join(l2, "hub", "left").select("bucket", "id", "d", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("n > 1 and c1 <> c2").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket").select("bucket", "id", "d", "c"))
-    other = open_.select("bucket", F.col("id").alias("id2"), F.col("d").alias("d2"), F.col("c").alias("c2"))
-    met = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= far + 1e-9)
-    pairs = cut(open_.join(other, "bucket").where(met).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-    if not pairs.isEmpty():
-        linked = linked.union(_overlaps(pairs, texts, k).where(F.col("j") >= threshold).select("a", "b"))
-        label = components(linked)
+    placed = spokes.where("n > 2").join(first.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("j")).alias("d")), ["id", "hub"])
+    placed = cut(placed.select("bucket", "id", "d", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    one = placed.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), "d")
+    two = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("d").alias("d2"))
+    met = one.join(two, ["bucket", "block"]).where("a > b")
+    met = met.groupBy("a", "b").agg(F.min(F.col("d") + F.col("d2")).alias("most"), F.max(F.abs(F.col("d") - F.col("d2"))).alias("least"))
+    met = cut(met.where(F.col("least") <= far + 1e-9).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    # a proved pair's ends are both linked to its hub, so it adds nothing to the classes
+    proved = met.where(F.col("most") <= far - 1e-9).select("a", "b")
+    open_ = met.where(F.col("most") > far - 1e-9).select("a", "b")
+    linked = linked.union(_overlaps(open_, texts, k).where(F.col("j") >= threshold).select("a", "b"))
+    label = components(linked)
 
+    linked = linked.union(proved)
     links = linked.union(linked.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
     named = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
     named = cut(named.select("id", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
