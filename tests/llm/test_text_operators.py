@@ -282,6 +282,37 @@ def test_fuzzy_notices_are_those_of_a_plain_search():
             assert any(a < plain.end() and plain.start() < b for a, b, _, _ in notices.find(text)), text
 
 
+def test_notices_with_errors_beside_better_ones_are_found(spark):
+    """A better match hides no other, in the same document or in the next."""
+    exact, one, two = "licensed under the mit license", "licensed under the mit licence", "licensed undr the mit licence"
+    find = L.Notices().find
+
+    def said(text):
+        return [(text[a:b], errors) for a, b, _, errors in find(text)]
+
+    assert said(f"{two} {exact}") == [(two, 2), (exact, 0)]
+    assert said(f"{one}\n{exact}\n{two}\n") == [(one, 1), (exact, 0), (two, 2)]
+    assert said(f"a {two} {one} {two} of {exact} {one}") == [(two, 2), (one, 1), (two, 2), (exact, 0), (one, 1)]
+    rng = random.Random(8)
+    notices = L.Notices()
+    lines = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = list(L.NOTICES[rng.randrange(3)][0])
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = "q"
+            parts.append("".join(t))
+        lines.append(" ".join(parts))
+    text, at, want = "\n".join(lines) + "\n", 0, []
+    for line in lines:  # each on its own
+        want += [(at + a, at + b, i, e) for a, b, i, e in notices.find(line + "\n")]
+        at += len(line) + 1
+    assert notices.find(text) == want
+    got = {r.doc_id: [(s.first_word, s.errors) for s in r.spans] for r in L.scan_licenses(table(spark, [(1, one, "s"), (2, f"{two} {exact}", "s"), (3, exact, "s")]).coalesce(1)).collect()}
+    assert got == {1: [(0, 1)], 2: [(0, 2), (5, 0)], 3: [(0, 0)]}
+
+
 def test_contamination_equals_brute_force(spark, rows):
     rng = random.Random(6)
     items = [(i, words(rng, n, 10**6)) for i, n in enumerate([1, 3, 5, 8, 20, 60, 150])] + [(50, None), (51, ""), (None, "x y z"), (52, "  ...")]

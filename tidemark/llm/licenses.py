@@ -2,13 +2,15 @@
 
 A notice of e allowed errors is split into e + 1 pieces; where it stands with at most e errors, one piece stands unharmed
 (pigeonhole). An Aho-Corasick automaton finds all pieces in one pass over the normalised text, and the regex library
-matches the notice with bounded errors around each find. Texts are normalised to their words (ASCII letters in lower case)
+matches the notice with bounded errors around each find, in the text's own line; the best match of all is taken first and
+what it leaves free is searched again. Texts are normalised to their words (ASCII letters in lower case)
 with single spaces; errors count bytes of UTF-8.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -71,36 +73,55 @@ class Notices:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, errors) of the matches in a text of lines, no two overlapping; the fewest errors win."""
-        wide: dict[int, list[list[int]]] = {}
+        windows = set()
         for end, (size, where) in self.finder.iter(text):
+            start = end + 1 - size
             for i, a in where:
                 e, n = self.errors[i], len(self.notices[i][0])
-                low = end + 1 - size - a - e
-                spans = wide.setdefault(i, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], low + n + 2 * e)
-                    spans[-1][0] = min(spans[-1][0], low)
-                else:
-                    spans.append([low, low + n + 2 * e])
-        hits = []
-        for i, spans in wide.items():
-            for low, high in spans:
-                # a piece with a byte around it for what the pattern asks of its neighbours
-                begin = max(0, low - 1)
-                segment = text[begin : high + 1]
-                # e errors spoil 3 e of a notice's trigrams at most (q-gram lemma): too few left, no match
-                if sum(g in segment for g in self.grams[i]) < len(self.grams[i]) - 3 * self.errors[i]:
-                    continue
-                for m in self.patterns[i].finditer(segment):
-                    if "\n" not in m.group():
-                        hits.append((sum(m.fuzzy_counts) / len(self.notices[i][0]), -len(self.notices[i][0]), begin + m.start(), begin + m.end(), i, sum(m.fuzzy_counts)))
-        hits.sort()
+                # where the notice of this piece may stand, in the piece's own line
+                low, high = max(0, start - a - e), min(len(text), start - a + n + e)
+                low = max(low, text.rfind("\n", low, start) + 1)
+                stop = text.find("\n", end + 1, high)
+                windows.add((i, low, high if stop < 0 else stop))
+        best: list[tuple[float, int, int, int, int, int, int, int]] = []
+
+        def search(i: int, low: int, high: int) -> None:
+            """The best match of a notice in whole words of a piece of a line waits for its turn."""
+            if low and text[low - 1] not in " \n":
+                low = text.find(" ", low, high) + 1
+                if not low:
+                    return
+            if high < len(text) and text[high] not in " \n":
+                high = text.rfind(" ", low, high)
+            e, n = self.errors[i], len(self.notices[i][0])
+            if high - low < n - e:
+                return
+            segment = text[low:high]
+            # e errors spoil 3 e of a notice's trigrams at most (q-gram lemma): too few left, no match
+            if sum(g in segment for g in self.grams[i]) < len(self.grams[i]) - 3 * e:
+                return
+            m = self.patterns[i].search(segment)
+            if m:
+                errors = sum(m.fuzzy_counts)
+                heapq.heappush(best, (errors / n, -n, low + m.start(), low + m.end(), i, errors, low, high))
+
+        for window in windows:
+            search(*window)
         kept: list[tuple[int, int, int, int]] = []
-        for _, _, a, b, i, errors in hits:
+        while best:
+            _, _, a, b, i, errors, low, high = heapq.heappop(best)
             at = bisect.bisect(kept, (a, b, i, errors))
             # those kept don't overlap, so only the neighbours can
             if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
                 kept.insert(at, (a, b, i, errors))
+            # what is free of the window may hold another
+            at = max(0, bisect.bisect(kept, (low,)) - 1)
+            while at < len(kept) and kept[at][0] < high:
+                if kept[at][1] > low:
+                    search(i, low, kept[at][0])
+                    low = kept[at][1]
+                at += 1
+            search(i, low, high)
         return kept
 
 
