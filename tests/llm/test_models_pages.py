@@ -136,6 +136,19 @@ def test_a_page_follows_its_host(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_a_body_in_several_siblings_is_whole(spark):
+    """All containers of the winning path count, in page order, on pages with a host's path and on those by themselves."""
+    page = '<html><body><nav>x</nav><div class="content"><div id="part-1"><p>%s</p></div><div id="part-2"><p>%s</p></div><div id="part-3" hidden><p>no</p></div></div><footer>f</footer></body></html>'
+    many = "<html><body><div>" + "".join(f'<div class="section"><p>{"words of part " * (9 if i == 3 else 2)}{i}</p></div>' for i in range(6)) + "</div></body></html>"
+    long, short = "a long part of it " * 30, "a shorter part " * 14
+    rows = [(i, f"http://s.example/{i}", page % ((long, short) if i % 2 else (short, long))) for i in range(4)] + [(9, "http://m.example/", many)]
+    alone = Page(page % (long, short))
+    assert alone.text(*alone.find(None)) == f"{long.strip()}\n{short.strip()}"
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"{long.strip()}\n{short.strip()}" and got[2] == f"{short.strip()}\n{long.strip()}"
+    assert got[9].split("\n") == [f"{'words of part ' * (9 if i == 3 else 2)}{i}" for i in range(6)]
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p>a<", "</", "<!--", "<!-- a", "<script>x", "<b><i></b></i>", "</p></p>", "<table><td>a<tr><td>b</table>", "&#xZZ; &amp &nope;", "<p " + "a=" * 500, "<div>" * 3000])
 def test_broken_pages_give_some_text(html):
     page = Page(html)

@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored on its own; the best one votes, as a generalised tag-class path, for its host. The votes
-are counted in Spark, and every page is then extracted again with the path that won on its host, or with its own best
-container where it has no such path.
+are counted in Spark, and every page is then extracted again with all containers of the path that won on its host, or of its
+own best container's path where it has none of those.
 """
 
 from __future__ import annotations
@@ -191,16 +191,24 @@ class Page:
             top = self.parent[top]
         return top
 
-    def find(self, path: str | None) -> int:
-        """The largest node of a path, or the page's own best."""
-        there = [n for n in range(len(self.tag)) if self.path[n] == path and not self.drop[n] and (self.tag[n] in BLOCK or not n)] if path is not None else []
-        return max(there, key=lambda n: (self.size[n], -n)) if there else self.best()
+    def find(self, path: str | None) -> list[int]:
+        """The nodes of a path in page order, or of the path of the page's own best; none is in another, as paths grow inward."""
 
-    def text(self, root: int) -> str:
-        """The blocks under a node, one a line."""
+        def those(path: str) -> list[int]:
+            return [n for n in range(len(self.tag)) if self.path[n] == path and not self.drop[n] and (self.tag[n] in BLOCK or not n)]
+
+        there = those(path) if path is not None else []
+        if there:
+            return there
+        best = self.best()
+        return those(self.path[best]) or [best]
+
+    def text(self, *roots: int) -> str:
+        """The blocks under some nodes of which none is in another, one a line."""
         out: list[str] = []
         now: list[str] = []
-        live, skip = root == 0, 0
+        within = frozenset(roots)
+        live, skip = 0 in within, 0
 
         def flush() -> None:
             if now:
@@ -216,7 +224,7 @@ class Page:
                     now.append(e)
                 continue
             n = e if e >= 0 else ~e
-            if n == root:
+            if n in within:
                 flush()
                 live = e >= 0
                 continue
@@ -239,9 +247,9 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, sizes = [], []
         for html in batch.column(1).to_pylist():
             page = Page(html or "")
-            n = page.best()
-            paths.append(page.path[n])
-            sizes.append(page.size[n])
+            path = page.path[page.best()]
+            paths.append(path)
+            sizes.append(sum(page.size[n] for n in page.find(path)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
 
 
@@ -250,7 +258,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             page = Page(html or "")
-            texts.append(page.text(page.find(path)))
+            texts.append(page.text(*page.find(path)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(3)],
             names=["id", "url", "text", "n_chars", "path"],
