@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, crawl, dedup, frontier, verify
 from tidemark.operators.hooks import Hooks, analyze_with_model, clean_with_model, client_config, extract_with_model, parse_answer
-from tidemark.operators.schedule import Scheduler
+from tidemark.operators.schedule import Scheduler, task_places
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental as inc
 
@@ -235,6 +235,17 @@ def test_hooks_and_models(spark):
     assert client_config({"model": "m"}, {"AI_MODEL": "n"})["model"] == "n"
 
 
+def test_every_task_has_its_place(spark):
+    rng = random.Random(7)
+    s = Scheduler()
+    for i in range(300):
+        s.add(f"t{i}", [], priority=rng.randrange(-2, 14))
+    rows = [(t.id, t.priority) for t in s.tasks.values()]
+    rng.shuffle(rows)
+    got = {r.id: r.place for r in task_places(spark.createDataFrame(rows, "id long, priority int").repartition(5)).collect()}
+    assert got == {t.id: k for k, t in enumerate(s.order(), 1)}
+
+
 def test_scheduler(spark, tmp_path):
     now = [0.0]
     s = Scheduler(lambda: now[0], lambda x: now.__setitem__(0, now[0] + x))

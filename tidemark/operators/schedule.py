@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import unseen
 
@@ -88,3 +89,10 @@ class Scheduler:
             self.tasks = {t["id"]: Task(**t) for t in json.loads(Path(path).read_text(encoding="utf-8"))}
         except (OSError, ValueError, TypeError, KeyError):
             self.tasks = {}
+
+
+def task_places(tasks: DataFrame, priority: str = "priority", key: str = "id") -> DataFrame:
+    """``tasks`` with ``place`` (1, 2, ...) in the order of ``Scheduler.order``: every row, in no single task."""
+    from tidemark.llm.mixing import _rank
+
+    return _rank(tasks, [F.col(priority), F.col(key)]).withColumn("place", (F.col("rank") + 1).cast("int")).drop("rank")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls as L
 from tidemark.html.parser import parse_pages
-from tidemark.operators import crawl, dedup, frontier, verify
+from tidemark.operators import crawl, dedup, frontier, schedule, verify
 from tidemark.plans.corpus import items, table
 from tidemark.plans.text_queries import ITEMS, _B, simhash_sql
 
@@ -295,10 +295,7 @@ def _adaptive(spark, d):
 @query("task_order", "SELECT p_partkey, greatest(1, least(10, p_size - 5))::INT AS priority, row_number() OVER (ORDER BY greatest(1, least(10, p_size - 5)), p_partkey)::INT AS place FROM part ORDER BY place LIMIT 50")
 def _tasks(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.greatest(F.lit(1), F.least(F.lit(10), F.col("p_size") - 5)).cast("int").alias("priority"))
-    first = p.orderBy("priority", "p_partkey").limit(50)
-    from pyspark.sql import Window
-
-    return first.withColumn("place", F.row_number().over(Window.orderBy("priority", "p_partkey")))
+    return schedule.task_places(p, key="p_partkey").where("place <= 50")  # the SQL's LIMIT
 
 
 @query("top_details", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
