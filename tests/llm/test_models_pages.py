@@ -203,3 +203,77 @@ def test_pipeline_on_a_small_folder(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "decontaminate", "mix"]
     assert out and len({r.doc_id for r in out}) == len(out) and len({r.text for r in out}) == len(out)
     assert all(given[r.doc_id].text == r.text and 0 < r.copies <= 3 and r.taken == r.copies * r.size for r in out)
+
+
+def test_each_pipeline_stage_keeps_what_brute_force_keeps(spark, tmp_path):
+    """Planted copies, near copies and benchmark passages; mixing by its SQL, quality by the classifier's own verdicts."""
+    import duckdb
+
+    import __spark_entry__
+    import corpus_pipeline
+    from tidemark.llm.near_dedup import THRESHOLD
+
+    from .test_text_operators import bag, overlap, words
+
+    rng = random.Random(12)
+    base = [words(rng, rng.randrange(30, 90), 10**6) for _ in range(60)]
+    items = [(1, words(rng, 12, 10**6)), (2, words(rng, 25, 10**6)), (3, None)]
+    made = list(enumerate(base))
+    made += [(100 + i, base[i]) for i in range(15)]  # copies
+    for i in range(10, 30):  # near copies
+        w = base[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        made.append((200 + i, " ".join(w)))
+    made += [(300 + i, f"{words(rng, 40, 10**6)} {items[i % 2][1]} {words(rng, 9, 10**6)}") for i in range(6)]
+    made += [(400 + i, (words(rng, 1) + " ") * 60) for i in range(25)]  # low quality
+    given = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in made], "doc_id long, text string, source string").repartition(3)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    marks = labels(spark, [(i, int(i < 400), 0) for i, _ in made])
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+
+    def by_quality(rows):
+        told = {r.doc_id: r.predicted for r in quality(given, marks).collect()}
+        return {i for i in rows if told[i]}
+
+    def by_text(rows):
+        return {max(j for j, u in rows.items() if u == t) for t in rows.values()}
+
+    def by_overlap(rows):
+        bags = {i: bag(t) for i, t in rows.items()}
+        kept, seen = set(), set()
+        for i in sorted(rows):
+            if i in seen:
+                continue
+            kept.add(i)
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                seen.add(x)
+                todo += [y for y in rows if y not in seen and overlap(bags[x], bags[y]) >= THRESHOLD]
+        return kept
+
+    def by_items(rows):
+        def cuts(t):
+            w = t.split()
+            return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+        return {i for i, t in rows.items() if not any(x and len(cuts(t) & cuts(x)) >= 0.5 * len(cuts(x)) for _, x in items)}
+
+    def by_sql(rows):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/decontaminate/*.parquet'")
+        got = con.execute(__spark_entry__.oracle_sql()["op6_mix_sources"])
+        at = [c[0] for c in got.description]
+        return {r[at.index("doc_id")] for r in got.fetchall() if r[at.index("taken")] > 0}
+
+    brute = {"quality": by_quality, "exact": by_text, "near": by_overlap, "decontaminate": by_items, "mix": by_sql}
+    docs, rows, lost = given, dict(made), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        want = brute[name](rows)
+        assert sorted(ids) == sorted(want), name
+        lost[name] = len(rows) - len(want)
+        rows = {i: rows[i] for i in want}
+    assert lost["quality"] >= 20 and lost["exact"] >= 15 and lost["near"] >= 20 and lost["decontaminate"] >= 6
