@@ -1,13 +1,22 @@
-"""64-bit SimHash over CJK bigrams and words, in the JVM."""
+"""64-bit SimHash over CJK bigrams and words: one pass over the texts in Arrow batches, with no shuffle."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import BLANK_LINES, strip
+from tidemark.session import ship
 
 CJK = "[一-鿿]"
+_BLANKS = re.compile("[\t-\r\x1c-\x20\x85\xa0  -     　]+")
+_TOKEN = re.compile(f"{CJK}+|[a-zA-Z0-9]{{2,}}")
 
 
 def tokens(c: Column) -> Column:
@@ -20,27 +29,72 @@ def tokens(c: Column) -> Column:
     return F.when(F.coalesce(flat, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.substring(flat, 1, 10))).otherwise(found)
 
 
+def _tokens(text: str) -> list[str]:
+    """The same in Python."""
+    out = []
+    for t in _TOKEN.findall(text):
+        if t[0] < "一":
+            out.append(t.lower())
+        else:
+            out.extend([t[i : i + 2] for i in range(len(t) - 1)] or [t])
+    if out:
+        return out
+    flat = _BLANKS.sub(" ", text).strip(" ")
+    return [flat[:10]] if flat else []
+
+
+class Signs(dict):
+    """Tokens to the places of their rows of +1 and -1, the bits of their hash; each token is hashed once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+        self.rows = np.zeros((1024, 64), np.int8)
+
+    def __missing__(self, token: str) -> int:
+        self.fresh.append(token)
+        self[token] = at = len(self)
+        return at
+
+    def indices(self, found: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.fresh:
+            new = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[7::-1] for t in self.fresh]
+            bits = np.unpackbits(np.frombuffer(b"".join(new), np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            while len(self.rows) < len(self):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[len(self) - len(new) : len(self)] = bits.astype(np.int8) * 2 - 1
+            self.fresh.clear()
+        return out
+
+
+def hashes(texts: list[str | None], signs: Signs, block: int = 1 << 15) -> list[int]:
+    """The hash of each text as a signed number; 0 for blank and null ones. Very long texts are summed in blocks."""
+    power, out = np.uint64(1) << np.arange(64, dtype=np.uint64), []
+    for text in texts:
+        if len(signs) > 1 << 20:
+            signs = Signs()
+        at = signs.indices(_tokens(text or ""))
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(at), block):
+            total += signs.rows[at[i : i + block]].sum(0, dtype=np.int32)
+        out.append(int(power[total > 0].sum(dtype=np.uint64).astype(np.int64)))
+    return out
+
+
+def hash_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: the last column, a text, gives way to its hash; a null one to null."""
+    signs = Signs()
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        found = [None if t is None else h for t, h in zip(texts, hashes(texts, signs))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "simhash"])
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, simhash`` for every distinct key; a blank or null text hashes to 0.
-
-    Tokens are counted on the map side first, so what is shuffled is one row per key and distinct token at most, and the 64
-    sums of a key are partial aggregates.
-    """
-    counted = df.select(F.col(key).alias("_k"), F.explode_outer(tokens(F.col(text))).alias("_t")).groupBy("_k", "_t").agg(F.count("*").alias("_n"))
-    half = [F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1 + 8 * i, 8), 16, 10).cast("long") for i in (0, 1)]
-    bits = counted.select("_k", "_n", F.col("_t").isNull().alias("_none"), half[0].alias("_hi"), half[1].alias("_lo"))
-    lanes = []
-    for i in range(64):
-        word = F.col("_lo") if i < 32 else F.col("_hi")
-        lanes.append(F.sum(F.when(F.shiftright(word, i % 32).bitwiseAND(F.lit(1)) == 1, F.col("_n")).otherwise(-F.col("_n"))).alias(f"_b{i}"))
-    summed = bits.where("not _none").groupBy("_k").agg(*lanes)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        one = (1 << i) if i < 63 else -(1 << 63)
-        value = value.bitwiseOR(F.when(F.col(f"_b{i}") > 0, F.lit(one)).otherwise(F.lit(0)).cast("long"))
-    hashed = summed.select("_k", value.alias("simhash"))
-    keys = df.select(F.col(key).alias("_k")).distinct()
-    return keys.join(hashed, "_k", "left").select(F.col("_k").alias(key), F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    """``key, simhash`` for every row; a blank or null text hashes to 0. Nothing but the two columns leaves the JVM, and nothing is shuffled."""
+    ship(df.sparkSession)
+    return df.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).mapInArrow(hash_last, f"`{key}` {df.schema[key].dataType.simpleString()}, simhash long")
 
 
 def distance(a: Column, b: Column) -> Column:

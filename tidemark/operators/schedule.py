@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import unseen
+from tidemark.session import ranked
 
 
 @dataclass
@@ -93,6 +94,4 @@ class Scheduler:
 
 def task_places(tasks: DataFrame, priority: str = "priority", key: str = "id") -> DataFrame:
     """``tasks`` with ``place`` (1, 2, ...) in the order of ``Scheduler.order``: every row, in no single task."""
-    from tidemark.llm.mixing import _rank
-
-    return _rank(tasks, [F.col(priority), F.col(key)]).withColumn("place", (F.col("rank") + 1).cast("int")).drop("rank")
+    return ranked(tasks, [F.col(priority), F.col(key)]).withColumn("place", (F.col("rank") + 1).cast("int")).drop("rank")

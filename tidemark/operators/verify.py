@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.simhash import simhash
+from tidemark.functions.simhash import hash_last
 from tidemark.functions.text import strip
 from tidemark.functions.urls import page_number
-from tidemark.session import cut
+from tidemark.session import cut, ranked, ship
 
 
 def alias_chain(df: DataFrame, *names: str) -> Column:
@@ -77,24 +77,13 @@ def key_presence(lines: DataFrame, column: str) -> DataFrame:
 def _lookback(hashed: DataFrame, threshold: int, rows: int = 200) -> DataFrame:
     """How many hashes (``o, h``) are 1 to ``threshold`` bits from one of the ``rows`` before them.
 
-    Ranks come of a range sort with per-partition offsets; ranks are cut into stretches, and each stretch also gets the
-    ``rows`` ranks before it, so no single task orders all.
+    Ranks are cut into stretches, and each stretch also gets the ``rows`` ranks before it, so no single task orders all.
     """
-    placed = cut(hashed.orderBy("o").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
-    before, pairs = 0, []
-    for p in sorted(sizes):
-        pairs += [F.lit(p).cast("int"), F.lit(before).cast("long")]
-        before += sizes[p]
-    if not pairs:
-        return hashed.agg(F.lit(0).cast("long").alias("near"))
-    rank = F.try_element_at(F.create_map(*pairs), part.cast("int")) + F.col("_at").bitwiseAND((1 << 33) - 1)
-    ranked = placed.select(rank.alias("r"), "h")
+    placed = ranked(hashed, [F.col("o")]).select(F.col("rank").alias("r"), "h")
     stretch = max(10 * rows, 1)
     home = F.floor(F.col("r") / stretch)
     halo = F.floor((F.col("r") + rows) / stretch)
-    spread = ranked.select("r", "h", F.explode(F.array_distinct(F.array(home, halo))).alias("s"))
+    spread = placed.select("r", "h", F.explode(F.array_distinct(F.array(home, halo))).alias("s"))
     frame = Window.partitionBy("s").orderBy("r").rowsBetween(-rows, -1)
     prior = spread.withColumn("prior", F.collect_list("h").over(frame)).where(F.floor(F.col("r") / stretch) == F.col("s"))
     gap = lambda x: F.bit_count(F.col("h").bitwiseXOR(x))
@@ -105,11 +94,18 @@ def dup_counts(df: DataFrame, order: str = "ord", threshold: int = 5, min_length
     """URL and content duplicates, rows near to one of the 200 before, unique rows and the total."""
     url = strip(alias_chain(df, "url", "link", "href"))
     content = alias_chain(df, "content", "text", "body", "title")
-    rows = df.select(F.col(order).alias("o"), url.alias("u"), content.alias("t"))
-    # distinct counts over pre-aggregated groups, a pair of shuffles of digests
-    u = rows.where("u is not null").groupBy(F.md5(F.col("u").cast("binary")).alias("x")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("u"))
-    c = rows.where("t is not null").groupBy(F.md5(F.col("t").cast("binary")).alias("x")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("c"))
-    near = _lookback(simhash(rows.where(F.length("t") > min_length), "o", "t").select("o", F.col("simhash").alias("h")), threshold)
+    # one pass over the texts: what goes on is a row of digests and a hash
+    ship(df.sparkSession)
+    seen = df.select(F.col(order).alias("o"), F.md5(url.cast("binary")).alias("u"), F.md5(content.cast("binary")).alias("c"), F.when(F.length(content) > min_length, content).alias("t"))
+    kind = df.schema[order].dataType.simpleString()
+    rows = cut(seen.mapInArrow(hash_last, f"o {kind}, u string, c string, h long"))
+
+    def repeated(x: str) -> DataFrame:
+        groups = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n"))
+        return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(x))
+
+    u, c = repeated("u"), repeated("c")
+    near = _lookback(rows.where("h is not null").select("o", "h"), threshold)
     one = rows.agg(F.count("*").alias("n")).join(F.broadcast(u)).join(F.broadcast(c)).join(F.broadcast(near))  # one row each
     return one.select(
         F.col("u").alias("url_duplicates"), F.col("c").alias("content_duplicates"), F.col("near").alias("near_duplicates"),

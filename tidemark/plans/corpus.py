@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import clean, dedup
+from tidemark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,20 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean, score, filter and dedup the documents: by language what is kept, its characters and mean score in hundredths."""
-    d = table(spark, sf_dir, "documents")
+    """Clean, score, filter and dedup the documents: by language what is kept, its characters and mean score in hundredths.
+
+    Texts are looked at once, where they are read: the generator keeps the filter on the score from being pushed into
+    them. Narrow rows go on.
+    """
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     cleaned = d.select("doc_id", "lang", X.normalize_whitespace(X.fix_encoding(F.col("text"))).alias("text"))
-    scored = cleaned.withColumn("score", X.quality_score(F.col("text"))).where(F.col("score") >= 0.3)
-    kept = dedup.dedup_by_content(scored, "text", "doc_id")
-    return kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum(F.length("text")).alias("chars"), F.sum(F.round(F.col("score") * 100).cast("long")).alias("score_hundredths"))
+
+    def seen(t: Column) -> Column:
+        return F.struct(F.length(t).alias("chars"), X.quality_tenths(t).alias("tenths"), F.when(t != "", X.content_key(t)).alias("key"))
+
+    narrow = cleaned.select("doc_id", "lang", F.inline(F.transform(F.array("text"), seen))).where("tenths >= 3")
+    kept = dedup.winners(narrow, "key", "doc_id")
+    return kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("chars").alias("chars"), F.sum((F.col("tenths") * 10).cast("long")).alias("score_hundredths"))
 
 
 __all__ = ["clean", "items", "kept_by_language", "table"]

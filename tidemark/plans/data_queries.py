@@ -8,6 +8,7 @@ from tidemark.functions import urls as L
 from tidemark.html.parser import parse_pages
 from tidemark.operators import crawl, dedup, frontier, schedule, verify
 from tidemark.plans.corpus import items, table
+from tidemark.session import spread
 from tidemark.plans.text_queries import ITEMS, _B, simhash_sql
 
 QUERIES: dict = {}
@@ -171,7 +172,7 @@ SELECT (count(*) - count(DISTINCT url))::BIGINT AS url_duplicates, (count(text)
 (count(*) - greatest(count(*) - count(DISTINCT url), count(text) FILTER (text <> '') - count(DISTINCT text) FILTER (text <> '')))::BIGINT AS unique_count, count(*)::BIGINT AS total FROM items""",
 )
 def _dups(spark, d):
-    return verify.dup_counts(items(spark, d).select("ord", "url", "title", "text"))
+    return verify.dup_counts(spread(items(spark, d).select("ord", "url", "title", "text")))
 
 
 @query(
@@ -181,7 +182,7 @@ count_if(regexp_matches(text, '[\x0e-\x1f\x0b\x0c\x00-\x08]{3,}|\x{FFFD}{2,}')):
 count_if(length(text) > 200 AND regexp_matches(substr(text, length(text) - 4, 5), '[a-zA-Z\x{4e00}-\x{9fff}][,;:，、；：]\n?$|…\n?$|\\\n?$'))::BIGINT AS suspected_truncated, count(*)::BIGINT AS total FROM documents""",
 )
 def _qcounts(spark, d):
-    return verify.quality_counts(table(spark, d, "documents").select("doc_id", "text"))
+    return verify.quality_counts(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 _SUSPECT = (
@@ -193,7 +194,7 @@ _SUSPECT = (
 
 @query("antibot_counts", f"WITH {ITEMS}, s AS (SELECT *, {_SUSPECT} AS bad FROM items) SELECT count_if(bad)::BIGINT AS suspected_pages, array_to_string(list_slice(list(title ORDER BY ord) FILTER (bad), 1, 5), '|') AS samples, count(*)::BIGINT AS total FROM s")
 def _antibot(spark, d):
-    found = verify.antibot_counts(items(spark, d).select("ord", "title", "text"))
+    found = verify.antibot_counts(spread(items(spark, d).select("ord", "title", "text")))
     return found.select("suspected_pages", F.array_join("samples", "|").alias("samples"), "total")
 
 
@@ -233,7 +234,7 @@ def _reconcile(spark, d):
 SELECT CASE WHEN count_if(bad) > 0 THEN 'error' ELSE 'warning' END AS status, count(*)::BIGINT AS total, (count(*) - count(DISTINCT url))::BIGINT AS url_duplicates, count_if(bad)::BIGINT AS suspected_pages FROM s""",
 )
 def _summary(spark, d):
-    report = verify.verify(items(spark, d).select("ord", "url", "title", "text"))
+    report = verify.verify(spread(items(spark, d).select("ord", "url", "title", "text")))
     details = report["details"]
     row = (report["status"], details["quality"]["total"], details["duplicates"]["url_duplicates"], details["blocked"]["suspected_pages"])
     return spark.createDataFrame([row], "status string, total long, url_duplicates long, suspected_pages long")
@@ -329,10 +330,10 @@ def _walk(spark, d):
 
 @query("parse_title", """SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&copy;', '©'), '\\s*[-–|·•].*', ''), '^\\s+|\\s+$', '', 'g') AS title FROM pages""")
 def _title(spark, d):
-    return parse_pages(table(spark, d, "pages"), ("title",)).select("page_id", "title")
+    return parse_pages(spread(table(spark, d, "pages")), ("title",)).select("page_id", "title")
 
 
 @query("parse_pages")
 def _parse(spark, d):
     wanted = ("title", "text", "links", "images", "metadata", "headings", "open_graph", "tables", "comments", "pagination", "videos", "next_link", "total_pages")
-    return parse_pages(table(spark, d, "pages"), wanted)
+    return parse_pages(spread(table(spark, d, "pages")), wanted)

@@ -9,6 +9,7 @@ from tidemark.functions import text as X
 from tidemark.functions import versions as V
 from tidemark.operators import clean, dedup
 from tidemark.plans.corpus import items, kept_by_language, table
+from tidemark.session import spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -70,7 +71,7 @@ for _n, _v in {k: v for k, v in X.ENTITIES.items() if k != "amp"}.items():
     f"c AS (SELECT page_id, {_ENT.format(c='t')} AS t FROM b) SELECT page_id, regexp_replace(t, '^[\\n{_B}]+|[\\n{_B}]+$', '', 'g') AS text FROM c",
 )
 def _strip(spark, d):
-    return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
 @query("normalize_ws", f"SELECT conv_id, turn, {ws('text')} AS text FROM conversations")
@@ -86,7 +87,7 @@ def _union_sql(patterns) -> str:
 
 def _extract(name, f, patterns):
     def run(spark, d):
-        return table(spark, d, "documents").select("doc_id", F.array_join(f(F.col("text")), "|").alias("found"))
+        return spread(table(spark, d, "documents")).select("doc_id", F.array_join(f(F.col("text")), "|").alias("found"))
 
     query(name, _union_sql(patterns))(run)
 
@@ -102,22 +103,22 @@ _extract("extract_prices", X.extract_prices, X.PRICES)
     """SELECT page_id, array_to_string(list_sort(list_transform(list_distinct(regexp_extract_all(url || ' ' || html, 'https?://[^\\s<>"'')\\]]+')), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))), '|') AS found FROM pages""",
 )
 def _urls(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(X.extract_urls(F.concat("url", F.lit(" "), "html")), "|").alias("found"))
+    return spread(table(spark, d, "pages")).select("page_id", F.array_join(X.extract_urls(F.concat("url", F.lit(" "), "html")), "|").alias("found"))
 
 
 @query("clean_documents", f"SELECT doc_id, {ws('nfc_normalize(text)')} AS text, lang, source FROM documents")
 def _clean(spark, d):
-    return clean.clean(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return clean.clean(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")))
 
 
 @query("quality_score", f"SELECT doc_id, {tenths('text')} / 10.0::DOUBLE AS score FROM documents")
 def _quality(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.quality_score(F.col("text")).alias("score"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.quality_score(F.col("text")).alias("score"))
 
 
 @query("quality_filter", f"SELECT doc_id FROM documents WHERE {tenths('text')} >= 8")
 def _qfilter(spark, d):
-    return clean.quality_filter(table(spark, d, "documents"), ["text"], 0.8).select("doc_id")
+    return clean.quality_filter(spread(table(spark, d, "documents")), ["text"], 0.8).select("doc_id")
 
 
 @query("remove_empty", "SELECT page_id, num FROM (SELECT page_id, regexp_extract(url, '[?&]page=([0-9]+)', 1) AS num FROM pages) WHERE num <> ''")
@@ -131,7 +132,7 @@ def _empty(spark, d):
     f"SELECT count(*)::BIGINT AS processed, count_if(html LIKE '%<%' AND html LIKE '%>%')::BIGINT AS html_stripped, 0::BIGINT AS encoding_fixed, count_if({tenths('html')} < 3)::BIGINT AS low_quality, count_if({tenths('html')} < 3 OR html = '')::BIGINT AS items_removed FROM pages",
 )
 def _cstats(spark, d):
-    return clean.clean_stats(table(spark, d, "pages"), "html")
+    return clean.clean_stats(spread(table(spark, d, "pages")), "html")
 
 
 @query("rule_replace", r"SELECT p_partkey, regexp_replace(p_name, '([a-z]+)#?([0-9]+)', '\2-\1', 'g') AS p_name FROM part")
@@ -189,7 +190,7 @@ def _durl(spark, d):
 
 @query("dedup_content", f"SELECT min(doc_id) AS ord, {key('text')} AS content_key FROM documents WHERE text <> '' GROUP BY 2")
 def _dcontent(spark, d):
-    return dedup.dedup_by_content(items(spark, d)).select("ord", X.content_key(F.col("text")).alias("content_key"))
+    return dedup.dedup_by_content(spread(items(spark, d))).select("ord", X.content_key(F.col("text")).alias("content_key"))
 
 
 def simhash_sql(source: str) -> str:
@@ -208,12 +209,12 @@ DOCS = "SELECT doc_id AS o, text AS t FROM documents"
 
 @query("simhash", f"WITH {simhash_sql(DOCS)} SELECT o AS doc_id, h AS simhash FROM sh")
 def _simhash(spark, d):
-    return S.simhash(table(spark, d, "documents"), "doc_id", "text")
+    return S.simhash(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("simhash_pairs", f"WITH {simhash_sql(DOCS)} SELECT a.o AS a, b.o AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM sh a JOIN sh b ON a.o < b.o AND bit_count(xor(a.h, b.h)) <= 3")
 def _pairs(spark, d):
-    hashed = S.simhash(table(spark, d, "documents"), "doc_id", "text").select(F.col("doc_id").alias("o"), F.col("simhash").alias("h"))
+    hashed = S.simhash(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("doc_id").alias("o"), F.col("simhash").alias("h"))
     hashed = dedup.cut(hashed)
     pairs = dedup.near_pairs(hashed, 3)
     one, two = hashed.select(F.col("o").alias("a"), F.col("h").alias("x")), hashed.select(F.col("o").alias("b"), F.col("h").alias("y"))
@@ -231,7 +232,7 @@ gk AS (SELECT unnest(os) AS ord FROM (SELECT os FROM gr ORDER BY i DESC LIMIT 1)
 
 @query("dedup_simhash", f"WITH RECURSIVE {greedy_sql(DOCS + ' WHERE length(text) >= 20')} SELECT ord FROM gk UNION ALL SELECT doc_id FROM documents WHERE length(text) < 20")
 def _dsim(spark, d):
-    return dedup.dedup_by_simhash(items(spark, d)).select("ord")
+    return dedup.dedup_by_simhash(spread(items(spark, d))).select("ord")
 
 
 _AFTER = f"""WITH RECURSIVE {ITEMS}, i1 AS (SELECT min(ord) AS ord FROM items GROUP BY url), i2 AS (SELECT items.* FROM items JOIN i1 USING (ord)),
@@ -241,7 +242,7 @@ i3 AS (SELECT min(ord) AS ord FROM i2 WHERE text <> '' GROUP BY {key("text")} UN
 
 @query("dedup_all", f"{_AFTER} SELECT ord FROM al")
 def _dall(spark, d):
-    return dedup.dedup_all(items(spark, d)).select("ord")
+    return dedup.dedup_all(spread(items(spark, d))).select("ord")
 
 
 @query(
@@ -250,7 +251,7 @@ def _dall(spark, d):
 ((SELECT count(*) FROM i4) - (SELECT count(*) FROM al))::BIGINT AS simhash_duplicates, ((SELECT count(*) FROM items) - (SELECT count(*) FROM al))::BIGINT AS total""",
 )
 def _dstats(spark, d):
-    return dedup.dedup_stats(items(spark, d))
+    return dedup.dedup_stats(spread(items(spark, d)))
 
 
 _VERSIONS = ["python-3.14.7-amd64.exe", "python-3.15.0a8-amd64.exe", "python-3.7.5rc1-embed-amd64.zip", "v1.2.3-beta2", "name_1.2.3", "none", "1.2.3 alpha 4"]
