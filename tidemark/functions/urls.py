@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.functions.text import strip
+from tidemark.functions.text import let, strip
 from tidemark.functions.versions import format_version, is_stable, parse_python_version
 
 #: RFC 3986, appendix B.
@@ -74,28 +74,30 @@ def _class(category: str, confidence: float, reason: Column | str, **meta: Colum
     )
 
 
-def classify_url(url: Column, context: Column | None = None, blocked: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> Column:
-    """struct<category, confidence, reason, metadata>: the first rule that fits, as one CASE."""
-    context = F.lit("") if context is None else F.coalesce(context, F.lit(""))
+def _url_facts(url: Column, context: Column) -> Column:
+    """What the rules of the gate ask of a URL, each found once."""
     u = strip(url)
-    p = parts(u)
-    scheme, host, path = F.lower(p["scheme"]), F.lower(p["netloc"]), p["path"]
-    low = F.lower(path)
-    name = F.regexp_extract(low, "([^/]*)$", 1)
-    ext = F.regexp_extract(name, r"[^.].*?(\.[^.]*)$", 1)
-    files = [*FILE_SUFFIXES, *suffixes]
+    path = F.coalesce(F.regexp_extract(u, _RFC, 3), F.lit(""))
+    name = F.regexp_extract(F.lower(path), "([^/]*)$", 1)
     version = parse_python_version(u)
-    shown = F.when(version.isNotNull(), F.concat(F.lit(" "), format_version(version))).otherwise(F.lit(""))
+    return F.struct(
+        url.alias("url"), u.alias("u"), F.lower(u).alias("lower"), F.lower(F.coalesce(F.regexp_extract(u, _RFC, 1), F.lit(""))).alias("scheme"), F.lower(netloc(u)).alias("host"),
+        path.alias("path"), name.alias("name"), F.regexp_extract(name, r"[^.].*?(\.[^.]*)$", 1).alias("ext"), F.lower(context).alias("context"), version.isNotNull().alias("versioned"),
+        F.coalesce(is_stable(version), F.lit(False)).alias("stable"), F.when(version.isNotNull(), F.concat(F.lit(" "), format_version(version))).otherwise(F.lit("")).alias("shown"),
+    )
+
+
+def _url_rules(f: Column, blocked: tuple[str, ...], files: list[str]) -> Column:
+    u, lower, host, path, name, ext, shown = (f[c] for c in ("u", "lower", "host", "path", "name", "ext", "shown"))
     python = host.contains("python.org")
     direct = u.rlike(rf"{_PY}-amd64\.exe$")
     other = u.rlike(rf"{_PY}-(?:amd64-pdb|arm64|embed-amd64|embed-win32|pdb|pdb-amd64|webinstall|win32)\.(?:exe|zip)$")
-    lower = F.lower(u)
     why = (
         F.when(lower.contains("webinstall"), "web installer stub").when(lower.contains("embed"), "embeddable package").when(lower.contains("arm64"), "ARM64 package")
         .when(lower.contains("win32"), "32-bit installer").when(lower.contains("pdb"), "debug symbols").otherwise("not the installer wanted")
     )
-    rule = F.when(url.isNull() | (url == ""), _class("blocked", 0.9, "empty URL"))
-    rule = rule.when(scheme.isin(*"data javascript mailto tel".split()), _class("blocked", 0.95, F.concat(F.lit("scheme: "), scheme)))
+    rule = F.when(f["url"].isNull() | (f["url"] == ""), _class("blocked", 0.9, "empty URL"))
+    rule = rule.when(f["scheme"].isin(*"data javascript mailto tel".split()), _class("blocked", 0.95, F.concat(F.lit("scheme: "), f["scheme"])))
     rule = rule.when(u.startswith("#"), _class("blocked", 0.95, "anchor"))
     rule = rule.when(lower.startswith("cloudreve://"), _class("netdisk_share", 0.95, "cloudreve scheme", provider="cloudreve"))
     for provider, domains in NETDISKS.items():
@@ -103,31 +105,36 @@ def classify_url(url: Column, context: Column | None = None, blocked: tuple[str,
     rule = rule.when(path.rlike("(?i)/s/[a-z0-9]{3,}"), _class("netdisk_share", 0.8, "share path"))
     for domain in blocked:
         rule = rule.when(_within(host, (domain,)), _class("blocked", 0.95, f"blocked domain: {domain}"))
-    rule = rule.when(python & u.rlike(rf"{_PY}\.exe$"), _class("blocked", 0.95, F.concat(F.lit("Python"), shown, F.lit(": no architecture"))))
-    rule = rule.when(
-        python & direct & is_stable(version),
-        _class("direct_file", 0.99, F.concat(F.lit("Python"), shown, F.lit(" amd64")), python_version=F.ltrim(shown), arch="amd64", stable="true"),
-    )
-    rule = rule.when(python & direct & version.isNotNull(), _class("blocked", 0.95, F.concat(F.lit("prerelease"), shown), python_version=F.ltrim(shown)))
-    rule = rule.when(python & direct, _class("direct_file", 0.9, "Python amd64, version unknown"))
-    rule = rule.when(python & other, _class("blocked", 0.95, F.concat(F.lit("Python"), shown, F.lit(": "), why), python_version=F.ltrim(shown)))
-    rule = rule.when(python & u.rlike("(?i)/python-[0-9]+/?$"), _class("blocked", 0.9, "old version directory"))
-    rule = rule.when(python & host.isin(*(f"{x}.python.org" for x in ("bugs", "hg", "svn"))), _class("blocked", 0.95, F.concat(F.lit("not a download host: "), host)))
-    rule = rule.when(host.endswith(".python.org") & ~host.isin(*(f"{x}.python.org" for x in ("downloads", "www"))), _class("blocked", 0.85, F.concat(F.lit("not a download subdomain: "), host)))
-    rule = rule.when(python & ext.isin(*(f".{x}" for x in "asc md5 sha1 sha256 sha512 sig txt".split())), _class("blocked", 0.9, F.concat(F.lit("checksum or signature "), ext)))
-    rule = rule.when(((host == "python.org") | host.endswith(".python.org")) & (ext != "") & ~ext.isin(*files), _class("blocked", 0.85, "not a file type wanted of python.org"))
-    marked = F.lit(None).cast("string")
-    for m in reversed(_MARKERS):
-        marked = F.when(name.rlike(rf"[._-]{m}[._-]") | name.startswith(f"{m}-"), F.lit(m)).otherwise(marked)
+    of_python = F.when(u.rlike(rf"{_PY}\.exe$"), _class("blocked", 0.95, F.concat(F.lit("Python"), shown, F.lit(": no architecture"))))
+    of_python = of_python.when(direct & f["stable"], _class("direct_file", 0.99, F.concat(F.lit("Python"), shown, F.lit(" amd64")), python_version=F.ltrim(shown), arch="amd64", stable="true"))
+    of_python = of_python.when(direct & f["versioned"], _class("blocked", 0.95, F.concat(F.lit("prerelease"), shown), python_version=F.ltrim(shown)))
+    of_python = of_python.when(direct, _class("direct_file", 0.9, "Python amd64, version unknown"))
+    of_python = of_python.when(other, _class("blocked", 0.95, F.concat(F.lit("Python"), shown, F.lit(": "), why), python_version=F.ltrim(shown)))
+    of_python = of_python.when(u.rlike("(?i)/python-[0-9]+/?$"), _class("blocked", 0.9, "old version directory"))
+    of_python = of_python.when(host.isin(*(f"{x}.python.org" for x in ("bugs", "hg", "svn"))), _class("blocked", 0.95, F.concat(F.lit("not a download host: "), host)))
+    of_python = of_python.when(host.endswith(".python.org") & ~host.isin(*(f"{x}.python.org" for x in ("downloads", "www"))), _class("blocked", 0.85, F.concat(F.lit("not a download subdomain: "), host)))
+    of_python = of_python.when(ext.isin(*(f".{x}" for x in "asc md5 sha1 sha256 sha512 sig txt".split())), _class("blocked", 0.9, F.concat(F.lit("checksum or signature "), ext)))
+    of_python = of_python.when(((host == "python.org") | host.endswith(".python.org")) & (ext != "") & ~ext.isin(*files), _class("blocked", 0.85, "not a file type wanted of python.org"))
     is_file = ext.isin(*files)
-    rule = rule.when(is_file & marked.isNotNull(), _class("blocked", 0.8, F.concat(F.lit("not the file wanted: "), marked), ext=ext))
-    rule = rule.when(is_file, _class("direct_file", 0.9, F.concat(F.lit("file "), ext), ext=ext))
+    # the marker that stands first in the list names the reason
+    marks = F.array(*[F.lit(m) for m in _MARKERS])
+    marked = F.get(F.filter(marks, lambda m: F.contains(F.regexp_replace(name, "[._-]", "."), F.concat(F.lit("."), m, F.lit("."))) | F.startswith(name, F.concat(m, F.lit("-")))), F.lit(0))
+    rest = F.when(is_file & name.rlike(rf"[._-](?:{'|'.join(_MARKERS)})[._-]|^(?:{'|'.join(_MARKERS)})-"), _class("blocked", 0.8, F.concat(F.lit("not the file wanted: "), marked), ext=ext))
+    rest = rest.when(is_file, _class("direct_file", 0.9, F.concat(F.lit("file "), ext), ext=ext))
     interface = path.rlike("(?i)/(?:attachment|dl|down|download|fetch|file|getfile)/") | u.rlike("(?i)[&?](?:act|action|mod)=(?:dl|download|get_?file)")
-    rule = rule.when(interface, _class("html_middle", 0.8, "download interface"))
-    rule = rule.when(path.rlike(f"(?i)/(?:{'|'.join(_ARTICLE)})"), _class("blocked", 0.8, "not a download page"))
-    rule = rule.when(low.rlike("/downloads?/?$"), _class("download_page", 0.6, "download list"))
-    rule = rule.when(F.lower(context).rlike("下载|download|save"), _class("html_middle", 0.6, "words of the link"))
-    return rule.otherwise(_class("html_middle", 0.3, "nothing certain"))
+    rest = rest.when(interface, _class("html_middle", 0.8, "download interface"))
+    rest = rest.when(path.rlike(f"(?i)/(?:{'|'.join(_ARTICLE)})"), _class("blocked", 0.8, "not a download page"))
+    rest = rest.when(F.lower(path).rlike("/downloads?/?$"), _class("download_page", 0.6, "download list"))
+    rest = rest.when(f["context"].rlike("下载|download|save"), _class("html_middle", 0.6, "words of the link"))
+    rest = rest.otherwise(_class("html_middle", 0.3, "nothing certain"))
+    return rule.otherwise(F.coalesce(F.when(python, of_python), rest))
+
+
+def classify_url(url: Column, context: Column | None = None, blocked: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> Column:
+    """struct<category, confidence, reason, metadata>: the first rule that fits, over facts that are found once a URL."""
+    context = F.lit("") if context is None else F.coalesce(context, F.lit(""))
+    files = [*FILE_SUFFIXES, *suffixes]
+    return let(_url_facts(url, context), lambda f: _url_rules(f, blocked, files))
 
 
 def domain_allowed(url: Column, policy: str = "allow_all", base: str = "", allowed: tuple[str, ...] = (), blocked: tuple[str, ...] = ()) -> Column:
@@ -143,25 +150,29 @@ PAGE_PATTERNS = {**{n: f"[&?]{n}=([0-9]+)" for n in PAGE_PARAMS}, "path_page": "
 
 def page_pattern(url: Column) -> Column:
     """struct<param, current_page, match> of the first pattern that fits, or null."""
-    rule = None
-    for name, pattern in PAGE_PATTERNS.items():
-        found = F.struct(F.lit(name).alias("param"), F.try_to_number(F.regexp_extract(url, pattern, 1), F.lit("9" * 18)).cast("long").alias("current_page"), F.regexp_extract(url, pattern, 0).alias("match"))
-        rule = F.when(url.rlike(pattern), found) if rule is None else rule.when(url.rlike(pattern), found)
-    return rule
+    rows = [F.struct(F.lit(name).alias("param"), F.lit(pattern).alias("pattern")) for name, pattern in PAGE_PATTERNS.items()]
+    first = F.get(F.filter(F.array(*rows), lambda r: F.regexp(url, r["pattern"])), F.lit(0))
+
+    def found(r: Column) -> Column:
+        page = F.try_to_number(F.regexp_substr(F.regexp_substr(url, r["pattern"]), F.lit("[0-9]+")), F.lit("9" * 18)).cast("long")
+        return F.when(r.isNotNull(), F.struct(r["param"].alias("param"), page.alias("current_page"), F.regexp_substr(url, r["pattern"]).alias("match")))
+
+    return let(first, found)
 
 
 def next_page_url(url: Column, page_size: int = 0, steps: Column | int = 1) -> Column:
     """The URL ``steps`` pages on, by its pattern; null where it has none. Offsets go by the page size, 10 by default."""
-    p = page_pattern(url)
-    step = F.when(p["param"].isin("offset", "start", "skip"), F.lit(page_size or 10)).otherwise(F.lit(1))
-    value = (p["current_page"] + step * (F.lit(steps) if isinstance(steps, int) else steps)).cast("string")
-    out = F.when(p["param"] == "path_page", F.replace(url, p["match"], F.concat(F.lit("/page/"), value)))
-    out = out.when(p["param"] == "path_p", F.replace(url, p["match"], F.concat(F.lit("/p/"), value)))
-    out = out.when(p["param"] == "suffix_page", F.concat(F.regexp_extract(url, r"^(.*)-[0-9]+\.html?$", 1), F.lit("-"), value, F.regexp_extract(url, r"(\.html?)$", 1)))
-    for name in PAGE_PARAMS:
-        before, after = F.regexp_extract(url, f"^(.*?[&?]{name}=)[0-9]+", 1), F.regexp_extract(url, f"^.*?[&?]{name}=[0-9]+(.*)$", 1)
-        out = out.when(p["param"] == name, F.concat(before, value, after))
-    return out
+    by = steps if isinstance(steps, Column) else F.lit(steps)
+
+    def turned(p: Column) -> Column:
+        step = F.when(p["param"].isin("offset", "start", "skip"), F.lit(page_size or 10)).otherwise(F.lit(1))
+        match = F.regexp_replace(p["match"], "[0-9]+", (p["current_page"] + step * by).cast("string"))
+        # paths are turned wherever they stand, parameters where they stand first, suffixes at the end
+        at = F.when(p["param"] == "suffix_page", F.length(url) - F.length(p["match"]) + 1).otherwise(F.position(p["match"], url))
+        once = F.concat(F.substring(url, F.lit(1), at - 1), match, F.substring(url, at + F.length(p["match"]), F.length(url)))
+        return F.when(p["param"].isin("path_page", "path_p"), F.replace(url, p["match"], match)).when(p.isNotNull(), once)
+
+    return let(page_pattern(url), turned)
 
 
 def paginate_urls(url: Column, pages: int) -> Column:

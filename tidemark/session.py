@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         "spark.driver.host": "127.0.0.1",
         "spark.sql.adaptive.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every function call asks for its place in the source
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
