@@ -80,7 +80,7 @@ def signatures(row: np.ndarray, x: np.ndarray, count: np.ndarray, n: int, m: int
 def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_buffers(batch.column(1))
+            raw, off = text_buffers(batch.column(2))
             sizes, digests, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), U)], [np.zeros((0, bands), U)]
             for i, j in slices(off):
                 row, x, count = bags(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
@@ -99,7 +99,8 @@ def _sketch(k: int, bands: int, rows: int):
             flat = np.concatenate(keys).view(np.int64)
             pair = np.concatenate(digests).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands), pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.concatenate(sizes)), lists], names=["id", "d1", "d2", "size", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.concatenate(sizes)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "d1", "d2", "size", "keys"])
 
     return run
 
@@ -112,101 +113,138 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total else 0.0
 
 
-def _verify(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, tuple | None] = (None, None)
-        for batch in batches:
-            got = []
-            for side in (2, 3):
-                raw, off = text_buffers(batch.column(side))
-                ids = batch.column(1).to_pylist() if side == 3 else None
-                out: list = []
-                for i in range(batch.num_rows):
-                    if ids is not None and ids[i] == last[0]:
-                        out.append(last[1])
-                        continue
-                    _, x, count = bags(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), k)
-                    out.append((x, count))
-                    if ids is not None:
-                        last = (ids[i], out[-1])
-                got.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([weighted_jaccard(a, b) for a, b in zip(*got)], pa.float64())], names=["a", "b", "j"])
+def pack(x: np.ndarray, count: np.ndarray) -> bytes:
+    """A bag as 6 bytes an element in order, with the counts behind them if any is above 1."""
+    body = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return len(x).to_bytes(8, "little") + body + (count.astype("<u4").tobytes() if len(count) and count.max() > 1 else b"")
 
-    return run
 
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8).reshape(-1, 6)
+    rest = blob[8 + 6 * n :]
+    return wide.reshape(-1).view(U), np.frombuffer(rest, "<u4").astype(np.int64) if rest else np.ones(n, np.int64)
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """``a, b`` to ``a, b, j``; only the texts named by a pair are moved."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= 2_000_000  # 16 bytes each
-    held = texts.join(F.broadcast(wanted) if few else wanted, "id")
-    one = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(held.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return cut(two.select("a", "b", "x", "y").mapInArrow(_verify(k), "a long, b long, j double"))
 
+def _pack(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_buffers(batch.column(1))
+            out = []
+            for i, j in slices(off):
+                row, x, count = bags(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                cuts = np.searchsorted(row, np.arange(j - i + 1))
+                out += [pack(x[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["v", "bag"])
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """``key, class_id, rep_id, n_links, class_size, kept``: a row for each row of ``docs``.
+    return run
 
-    ``rep_id`` is the smallest key of those with the same bag, ``class_id`` the smallest key of the class, whose row alone
-    is kept. ``n_links`` counts all bags that share a bucket with the row's and are linked to it; copies are not expanded into pairs.
-    Texts without a word, null ones too, match nothing, nor do rows with a null key, which have no class and are kept. A
-    text of fewer words than ``k`` is one shingle. Rows that repeat a key are one vertex and share its class. An empty
-    table gives no rows. Other columns are ignored.
-    """
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: tuple[int | None, tuple | None] = (None, None)
+    for batch in batches:
+        out = []
+        for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if b != last[0]:
+                last = (b, unpack(y.as_py()))
+            out.append(weighted_jaccard(unpack(x.as_py()), last[1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
+
+
+def _overlaps(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``a, b`` to ``a, b, j``. The bag of each vertex that a pair names is made once, and bags are what is moved."""
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    wanted = cut(vertices.join(wanted, "v").select("v", F.col("id").alias("_id"), F.col("h").alias("_h")))
+    few = wanted.count() <= 2_000_000  # 24 bytes each
+    held = texts.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    held = cut(held.select("v", "text").mapInArrow(_pack(k), "v long, bag binary"))
+    one = pairs.join(held.select(F.col("v").alias("a"), F.col("bag").alias("x")), "a")
+    two = one.join(held.select(F.col("v").alias("b"), F.col("bag").alias("y")), "b")
+    # rows that repeat a key and a text are one vertex whose bag came more than once
+    return cut(two.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, j double").dropDuplicates(["a", "b"]))
+
+
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, k: int, bands: int, rows: int) -> DataFrame:
+    """A row for each row of ``docs``: ``id, h, class_id, rep_id, n_links, class_size, kept``; h is a hash of the text."""
     ship(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sketch = cut(base.where("id is not null").mapInArrow(_sketch(k, bands, rows), "id long, d1 long, d2 long, size long, keys array<long>"))
+    texts = base.where("id is not null").select("id", F.xxhash64("text").alias("h"), "text")
+    sketch = texts.mapInArrow(_sketch(k, bands, rows), "id long, h long, d1 long, d2 long, size long, keys array<long>")
+    # the checkpoint keeps these numbers: every row has one of its own, whatever its key
+    sketch = cut(sketch.withColumn("v", F.monotonically_increasing_id()))
     worded = sketch.where("size > 0")
-    same = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    same = cut(worded.groupBy("d1", "d2").agg(F.min("v").alias("rep"), F.min("id").alias("rep_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     # a bag of many copies: its one row is sent to its copies' tasks by broadcast while the repeated bags are few
-    repeated = same.where("copies > 1").select("d1", "d2", "rep")
-    repeated = F.broadcast(repeated) if repeated.count() <= 1_000_000 else repeated
-    members = worded.select("id", "d1", "d2").join(repeated, ["d1", "d2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    members = cut(members.distinct())
-    vertices = members.where("id = rep").select("id")
-    banded = worded.join(vertices, "id").select("id", F.explode("keys").alias("bucket"))
-    stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    spokes = cut(banded.join(stars, "bucket").where("id <> hub").select("bucket", "id", "hub", "n"))
-    texts = base.where("id is not null")
-    first = _overlaps(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), texts, k)
+    repeated = F.broadcast(same) if same.count() <= 1_000_000 else same
+    members = worded.select("v", "id", "h", "d1", "d2").join(repeated, ["d1", "d2"], "left")
+    members = cut(members.select("v", "id", "h", F.coalesce("rep", "v").alias("rep"), F.coalesce("rep_id", "id").alias("rep_id")))
+    vertices = members.where("v = rep").select("v", "id", "h")
+    banded = worded.select("v", "keys").join(vertices.select("v"), "v").select("v", F.explode("keys").alias("bucket"))
+    stars = banded.groupBy("bucket").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    spokes = cut(banded.join(stars, "bucket").where("v <> hub").select("bucket", "v", "hub", "n"))
+    first = _overlaps(spokes.select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct(), vertices, texts, k)
     linked = first.where(F.col("j") >= threshold).select("a", "b")
 
-    # the other pairs of a bucket: their distances to its hub prove a link, rule it out, or leave it to the texts
+    # the other pairs of a bucket: their distances to its hub prove a link, rule it out, or leave it to the bags
     far = 1 - threshold
-    placed = spokes.where("n > 2").join(first.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("j")).alias("d")), ["id", "hub"])
-    placed = cut(placed.select("bucket", "id", "d", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    one = placed.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), "d")
-    two = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("d").alias("d2"))
+    placed = spokes.where("n > 2").join(first.select(F.col("a").alias("v"), F.col("b").alias("hub"), (1 - F.col("j")).alias("d")), ["v", "hub"])
+    placed = cut(placed.select("bucket", "v", "d", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    one = placed.select("bucket", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("a"), "d")
+    two = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("b"), F.col("d").alias("d2"))
     met = one.join(two, ["bucket", "block"]).where("a > b")
     met = met.groupBy("a", "b").agg(F.min(F.col("d") + F.col("d2")).alias("most"), F.max(F.abs(F.col("d") - F.col("d2"))).alias("least"))
     met = cut(met.where(F.col("least") <= far + 1e-9).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     # a proved pair's ends are both linked to its hub, so it adds nothing to the classes
     proved = met.where(F.col("most") <= far - 1e-9).select("a", "b")
     open_ = met.where(F.col("most") > far - 1e-9).select("a", "b")
-    linked = linked.union(_overlaps(open_, texts, k).where(F.col("j") >= threshold).select("a", "b"))
+    linked = linked.union(_overlaps(open_, vertices, texts, k).where(F.col("j") >= threshold).select("a", "b"))
     label = components(linked)
 
     linked = linked.union(proved)
     links = linked.union(linked.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
-    named = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
-    named = cut(named.select("id", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1")
+    found = links.withColumnRenamed("a", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "full")
+    named = members.join(found, "rep", "left")
+    named = cut(named.select("v", "id", "h", "rep_id", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    sizes = named.groupBy("class").agg(F.count("*").alias("class_size"), F.min("id").alias("class_id")).where("class_size > 1")
     sizes = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
-    full = named.join(sizes, "class_id", "left")
-    ids = docs.select(F.col(key).cast("long").alias("id"))
-    out = ids.join(full, "id", "left")
-    group = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
-    return out.select(
-        F.col("id").alias(key), group.alias("class_id"), F.coalesce("rep", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("id").isNull() | (F.col("id") == group)).alias("kept"),
+    full = named.join(sizes, "class", "left").select("id", "h", F.coalesce("class_id", "id").alias("class_id"), "rep_id", "n_links", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    bare = sketch.where("size = 0").select("id", "h", F.col("id").alias("class_id"), F.col("id").alias("rep_id"), F.lit(0).alias("n_links"), F.lit(1).alias("class_size"))
+    none = F.lit(None).cast("long")
+    keyless = base.where("id is null").select("id", none.alias("h"), none.alias("class_id"), none.alias("rep_id"), F.lit(0).alias("n_links"), F.lit(1).alias("class_size"))
+    every = full.unionByName(bare).unionByName(keyless)
+    return every.select(
+        "id", "h", "class_id", "rep_id", F.col("n_links").cast("long").alias("n_links"), F.col("class_size").cast("long").alias("class_size"),
+        (F.col("id").isNull() | (F.col("id") == F.col("class_id"))).alias("kept"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; the keys that go are looked up on the map side while they are few."""
-    gone = cut(near_duplicates(docs, key, text, **kw).where("not kept").select(F.col(key).alias("_gone")).distinct())
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``key, class_id, rep_id, n_links, class_size, kept``: a row for each row of ``docs``.
+
+    ``rep_id`` is the smallest key of those with the same bag, ``class_id`` the smallest key of the class, whose row alone
+    is kept. ``n_links`` counts all bags that share a bucket with the row's and are linked to it; copies are not expanded into pairs.
+    Texts without a word, null ones too, match nothing, nor do rows with a null key: their ids are null, and they are kept. A
+    text of fewer words than ``k`` is one shingle. Rows that repeat a key are rows of their own: each has the class of its
+    own text, and if several of a class have its smallest key all of those are kept. An empty table gives no rows. Other
+    columns are ignored.
+    """
+    return _classes(docs, key, text, threshold, k, bands, rows).withColumnRenamed("id", key).drop("h")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each class those with its smallest key.
+
+    A row goes by its key and its text, so of rows that repeat a key only those in a class with a smaller key go. Rows with
+    a null key or without a word stay. Keys that go are looked up beside the rows while they are few, else by a join on
+    the key. An empty table gives no rows.
+    """
+    gone = cut(_classes(docs, key, text, threshold, k, bands, rows).where("not kept").select(F.col("id").alias("_gone"), F.col("h").alias("_text")).distinct())
     gone = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
-    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    # the text's hash is a condition beside the key of the join: it is made for rows of such a key alone
+    h = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (h <= gone["_text"]) & (h >= gone["_text"]), "left_anti")
