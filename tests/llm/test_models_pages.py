@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import random
 import zlib
@@ -15,7 +16,7 @@ from tidemark.llm import linear
 from tidemark.llm.html_extract import Page, extract_main_text
 from tidemark.llm.quality import filter_quality, quality
 from tidemark.llm.toxicity import toxicity
-from tidemark.llm.warc import read_records, read_warc, warc_round_trip, write_warc
+from tidemark.llm.warc import members, read_records, read_warc, warc_round_trip, write_warc
 
 DOCS = "doc_id long, text string, score double, id string, features binary"
 
@@ -120,7 +121,7 @@ WANT = "Title & more\nFirst paragraph, with a bold word.\nSecond ééé one.\nit
 
 def test_main_text_of_a_full_page():
     page = Page(PAGE % 7)
-    assert page.text(page.best()) == WANT and page.path[page.best()].endswith("article.post-0")
+    assert page.text(page.best()) == WANT and page.path(page.best()).endswith("article.post-0")
 
 
 def test_a_page_follows_its_host(spark):
@@ -169,6 +170,22 @@ def brute_archive(rows):
     return sorted(out, key=repr)
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    deep = 100_000
+    pages = [
+        "<div>" * deep + "deep text", "<div class=a1>x" * deep, "<ul>" * deep + "<li>t", "<p><table><td>" + "<b>" * deep + "<h1>t</h1>" * 20_000, "<b><table>" + "<i>" * deep + "</b></q>" * 20_000 + "end",
+        "<a href=x>" * deep + "t", "<p>a" * deep, "</div>" * deep, "<a b='" * 20_000, "<a b = \"" * 20_000, "<script>" * deep, "<!--" * deep, "<li>x</li>" * deep,
+    ]
+    for html in pages:
+        began = time.process_time()
+        page = Page(html)
+        page.text(*page.find(None))
+        page.path(page.best())
+        assert time.process_time() - began < 20, html[:40]
+
+
 def test_archives_round_trip(spark, tmp_path):
     rng = random.Random(3)
     body = "é<p>" * 50
@@ -181,7 +198,7 @@ def test_archives_round_trip(spark, tmp_path):
     for k, parts in enumerate((2, 5)):
         folder = tmp_path / str(k)
         written = write_warc(df.repartition(parts), f"file://{folder}", shard_bytes=3000, roll_bytes=900)
-        assert read_warc(spark, f"file://{folder}", written).count() == len(rows)
+        assert read_warc(spark, f"file://{folder}").count() == len(rows) == written.agg({"records": "sum"}).first()[0]
         files.append({p.name: p.read_bytes() for p in sorted(folder.iterdir())})
         assert not [n for n in files[-1] if n.startswith(".")]
     assert files[0] == files[1] and sum(n.endswith(".gz") for n in files[0]) > 5
@@ -194,6 +211,33 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_urls_cannot_break_headers(spark):
+    urls = ["http://a/\r\n\r\nx", "http://a/\r\nWARC-Type: revisit\r\nContent-Length: 0", "\n", "\x85\u2028é", None]
+    df = spark.createDataFrame([(i, u, "body") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc_round_trip(df).collect()) == [(i, 4, "response") for i in range(len(urls))]
+
+
+def test_shards_stay_small_whatever_the_keys(spark, tmp_path):
+    rng = random.Random(9)
+    keys = [k * 10**9 + j for k in range(150) for j in range(8)]  # more crowded cells than are cut at a time
+    keys += [77] * 400 + [None] * 300  # one key, and no key, of very many records
+    rows = [(k, "u", f"{i} " + "".join(rng.choice("abcdef") for _ in range(120))) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    written = write_warc(df, f"file://{tmp_path}", shard_bytes=2000).groupBy("shard").sum("records").collect()
+    assert sum(r[1] for r in written) == len(rows) and max(r[1] for r in written) < 45  # 16 of 125 bytes are meant to be in one
+    cols = ("key", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r[c] for c in cols) for r in read_warc(spark, f"file://{tmp_path}").collect()), key=repr) == brute_archive(rows)
+
+
+def test_members_of_any_chunk():
+    parts = [b"a" * n for n in (0, 1, 70_000, 5)]
+    raw = b"".join(gzip.compress(p) for p in parts)
+    for chunk in (1, 7, 1 << 16):
+        assert list(members(io.BytesIO(raw), chunk)) == parts
+    with pytest.raises(ValueError):
+        list(members(io.BytesIO(raw[:-3])))
+
+
 def test_pipeline_on_a_small_folder(spark):
     import corpus_pipeline
 

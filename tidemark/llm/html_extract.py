@@ -7,9 +7,10 @@ own best container's path where it has none of those.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,103 +71,139 @@ def _name(tag: str, attrs: dict[str, str]) -> str:
     return re.sub(r"\d+", "0", ".".join([tag, *names]))
 
 
+#: End tags of other elements don't reach over these.
+BARRIERS = frozenset("article main body table".split())
+OVER_BARRIERS = frozenset("article main body html table section div".split())
+_P = (("p",), ("div", "article", "section", "td", "body", "main", "blockquote", "li"))
+
+
 class Page:
-    """A tolerant tree as parallel lists, and its events in page order: ints open (n) or close (~n) node n, strings are text."""
+    """A tolerant tree as parallel lists, and its events in page order: ints open (n) or close (~n) node n, strings are text.
+
+    Time and memory are linear in the page, however deep it is nested: what is asked of the open elements is kept by tag,
+    sizes are added up from the leaves at the end, and generalised paths are numbers whose text is made when asked for.
+    """
 
     def __init__(self, html: str) -> None:
-        self.tag, self.path, self.parent, self.drop = ["#"], [""], [0], [False]
+        self.tag, self.place, self.parent, self.drop = ["#"], [0], [0], [False]
         self.size, self.linked, self.links, self.score = [0], [0], [0], [0]
+        self.block, self.link = [0], [0]  # the nearest block and the nearest link a node is in, itself included
+        self.steps: list[tuple[int, str]] = [(0, "")]  # of each path the one it goes on from, and a name
+        self.paths: dict[tuple[int, str], int] = {}
         self.events: list[int | str] = []
-        stack, at = [0], 0
+        self.stack, self.open = [0], {}
+        at = 0
         for m in TOKEN.finditer(html):
             if m.start() > at:
-                self._text(html[at : m.start()], stack)
+                self._text(html[at : m.start()])
             at = m.end()
             raw = m.group()
             if m.group(1) or raw[1] in "!?":
                 continue
             if raw[1] == "/":
-                self._end(raw[2:].strip("/> \t\r\n").split(None, 1)[0].lower() if len(raw) > 3 else "", stack)
+                self._end(raw[2:].strip("/> \t\r\n").split(None, 1)[0].lower() if len(raw) > 3 else "")
             elif raw[-1] == ">":
-                self._start(raw, stack)
+                self._start(raw)
         if at < len(html):
-            self._text(html[at:], stack)
-        while len(stack) > 1:
-            self.events.append(~stack.pop())
+            self._text(html[at:])
+        self._close(1)
+        del self.stack, self.open, self.paths
+        for n in range(len(self.tag) - 1, 0, -1):  # children have larger numbers
+            up = self.parent[n]
+            self.size[up] += self.size[n]
+            self.linked[up] += self.linked[n]
+            self.links[up] += self.links[n]
+
+    def _close(self, depth: int) -> None:
+        """Close the open elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            n = self.stack.pop()
+            self.open[self.tag[n]].pop()
+            self.events.append(~n)
+
+    def _depth(self, tags: Iterable[str]) -> int:
+        """Where in the stack the innermost open element of one of the tags is; 0 where none is."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
-    def _start(self, raw: str, stack: list[int]) -> None:
+    def _start(self, raw: str) -> None:
         body = raw[1:-1]
         head = re.match(r"[^\s/>]+", body)
         tag = head.group().lower()
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(body, head.end())} if len(body) > len(tag) + 1 else {}
-        if tag == "html" or tag == "body":
-            if any(self.tag[n] == tag for n in stack):
-                return
+        if (tag == "html" or tag == "body") and self.open.get(tag):
+            return
         if tag in ENDS_P:
-            self._pop(("p",), ("div", "article", "section", "td", "body", "main", "blockquote", "li"), stack)
+            self._imply(*_P)
         if tag in IMPLIED:
-            self._pop(*IMPLIED[tag], stack)
+            self._imply(*IMPLIED[tag])
         if tag in VOID or body.endswith("/") and tag not in BLOCK and tag not in ("a", "span", "b", "i"):
             self.events.append(" " if tag in ("br", "wbr", "hr", "img") else "")
             return
-        top = stack[-1]
+        top = self.stack[-1]
         n = len(self.tag)
         self.tag.append(tag)
         self.parent.append(top)
-        self.path.append(f"{self.path[top]}/{_name(tag, attrs)}" if tag in BLOCK or tag == "td" else self.path[top])
+        place = self.place[top]
+        if tag in BLOCK or tag == "td":
+            step = (place, _name(tag, attrs))
+            place = self.paths.setdefault(step, len(self.steps))
+            if place == len(self.steps):
+                self.steps.append(step)
+        self.place.append(place)
         self.drop.append(self.drop[top] or _noisy(tag, attrs))
+        self.block.append(n if tag in BLOCK else self.block[top])
+        self.link.append(n if tag == "a" else self.link[top])
         for x in (self.size, self.linked, self.links, self.score):
             x.append(0)
-        stack.append(n)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(n)
         self.events.append(n)
 
-    def _pop(self, tags: tuple[str, ...], scope: tuple[str, ...], stack: list[int]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in tags:
-                while len(stack) > k:
-                    self.events.append(~stack.pop())
-                # an enclosing one of them may be open too, as a row around a cell
-                return self._pop(tags, scope, stack)
-            if t in scope:
-                return None
-        return None
-
-    def _end(self, tag: str, stack: list[int]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t == tag:
-                while len(stack) > k:
-                    self.events.append(~stack.pop())
-                return
-            if t in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html", "table", "section", "div"):
-                return
-
-    def _text(self, raw: str, stack: list[int]) -> None:
-        top = stack[-1]
+    def _imply(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """End open elements of ``tags`` up to the innermost of ``scope``; one may enclose another, as a row a cell."""
+        edge = self._depth(scope)
+        while (at := self._depth(tags)) > edge:
+            self._close(at)
+
+    def _end(self, tag: str) -> None:
+        at = self._depth((tag,))
+        if at and (tag in OVER_BARRIERS or self._depth(BARRIERS) <= at):
+            self._close(at)
+
+    def _text(self, raw: str) -> None:
+        top = self.stack[-1]
         if self.drop[top]:
             return
         self.events.append(raw)
         n = len(raw) if not raw.isspace() else 0
         if not n:
             return
-        link, block = False, 0
-        for k in range(len(stack) - 1, -1, -1):
-            x = stack[k]
-            t = self.tag[x]
-            if not block and (t in BLOCK or k == 0):
-                block = x
-            link = link or t == "a"
-            self.size[x] += n
-            if link:
-                self.linked[x] += n
-                self.links[x] += 1
-        if not link:
-            holder = self.parent[block] if self.tag[block] in PARAGRAPH else block
-            if self.tag[holder] in ("ul", "ol", "dl", "table", "tbody"):
-                holder = self.parent[holder]
-            self.score[holder] += 2 * n
-            self.score[self.parent[holder]] += n
+        self.size[top] += n
+        if link := self.link[top]:
+            self.linked[link] += n
+            self.links[link] += 1
+            return
+        block = self.block[top]
+        holder = self.parent[block] if self.tag[block] in PARAGRAPH else block
+        if self.tag[holder] in ("ul", "ol", "dl", "table", "tbody"):
+            holder = self.parent[holder]
+        self.score[holder] += 2 * n
+        self.score[self.parent[holder]] += n
+
+    def path(self, n: int) -> str:
+        """The generalised path of a node."""
+        names, at = [], self.place[n]
+        while at:
+            at, name = self.steps[at]
+            names.append(name)
+        return "".join("/" + x for x in reversed(names))
+
+    def digests(self) -> list[bytes]:
+        """Of each path in the page a digest that it has in every page."""
+        out = [b""]
+        for up, name in self.steps[1:]:
+            out.append(hashlib.blake2b(out[up] + name.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        return out
 
     def best(self) -> int:
         """The node that holds the article: the highest score, widened to the article it is in."""
@@ -191,17 +228,18 @@ class Page:
             top = self.parent[top]
         return top
 
-    def find(self, path: str | None) -> list[int]:
+    def find(self, digest: bytes | None) -> list[int]:
         """The nodes of a path in page order, or of the path of the page's own best; none is in another, as paths grow inward."""
 
-        def those(path: str) -> list[int]:
-            return [n for n in range(len(self.tag)) if self.path[n] == path and not self.drop[n] and (self.tag[n] in BLOCK or not n)]
+        def those(place: int) -> list[int]:
+            return [n for n in range(len(self.tag)) if self.place[n] == place and not self.drop[n] and (self.tag[n] in BLOCK or not n)]
 
-        there = those(path) if path is not None else []
+        known = self.digests() if digest is not None else []
+        there = those(known.index(digest)) if digest in known else []
         if there:
             return there
         best = self.best()
-        return those(self.path[best]) or [best]
+        return those(self.place[best]) or [best]
 
     def text(self, *roots: int) -> str:
         """The blocks under some nodes of which none is in another, one a line."""
@@ -245,22 +283,24 @@ class Page:
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, sizes = [], []
-        for html in batch.column(1).to_pylist():
-            page = Page(html or "")
-            path = page.path[page.best()]
-            paths.append(path)
-            sizes.append(sum(page.size[n] for n in page.find(path)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
+        for html in batch.column(1):
+            page = Page(html.as_py() or "")
+            digest = page.digests()[page.place[page.best()]]
+            paths.append(digest)
+            sizes.append(sum(page.size[n] for n in page.find(digest)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.binary()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            page = Page(html or "")
-            texts.append(page.text(*page.find(path)))
+        texts, paths = [], []
+        for html, path in zip(batch.column(2), batch.column(3)):
+            page = Page(html.as_py() or "")
+            roots = page.find(path.as_py())
+            texts.append(page.text(*roots))
+            paths.append(page.path(roots[0]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(3)],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(paths, pa.string())],
             names=["id", "url", "text", "n_chars", "path"],
         )
 
@@ -268,13 +308,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 100_000, salts: int = 16) -> DataFrame:
     """``key, url, text, n_chars, path`` per row: the article's blocks joined by line feeds, and the path they came from.
 
-    A null html is an empty one and gives an empty text; pages with a null url share a host of their own. Votes tie-break
-    by the text found, then by the path. Repeated rows vote each. An empty table gives no rows. Other columns are ignored.
+    A null html is an empty one and gives an empty text; pages with a null url share a host of their own. Paths vote as
+    digests of 16 bytes, whatever their depth; votes tie-break by the text found, then by the digest. Repeated rows vote each. An empty table gives no rows. Other columns are ignored.
     """
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, size long")
+    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path binary, size long")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     winners = cut(counted.groupBy("host").agg(F.max_by("path", F.struct("n", "size", "path")).alias("path")))
     if winners.count() <= broadcast_hosts:
