@@ -18,7 +18,7 @@ from tidemark.llm import near_dedup as N
 from tidemark.llm import substring_dedup as S
 from tidemark.llm.exact_dedup import drop_exact_duplicates, exact_dedup, misra_gries
 from tidemark.llm.graph import components
-from tidemark.llm.mixing import mix_sources, targets
+from tidemark.llm.mixing import mix_sources, take_mix, targets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h long, d string, q long, hub string"
 
@@ -136,7 +136,7 @@ def test_exact_filter_keeps_one_of_each_text(spark, rows):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     texts = Counter(r.text or "" for r in kept.collect())
     assert set(texts) == {t or "" for _, t, _ in rows}
-    assert {t for t, n in texts.items() if n > 1} <= {rows[7][1]}  # the one row that is there twice
+    assert set(texts.values()) == {1}  # the row that is there twice too
 
 
 def test_misra_gries_finds_every_frequent_key():
@@ -225,6 +225,23 @@ def test_signatures_are_unbiased():
     assert agree.std() < 1.3 * (true * (1 - true) / 128) ** 0.5
 
 
+def test_rows_that_repeat_a_key_are_judged_by_their_text(spark):
+    same, other = "a b c d e f g h", "totally other words that nothing else here has"
+    rows = [(5, same, "s"), (5, other, "s"), (3, same, "t"), (3, same, "u"), (9, other, "t"), (None, same, "s"), (7, None, "s")]
+    df = table(spark, rows)
+    assert sorted_rows(N.drop_near_duplicates(df), "doc_id", "text", "source") == sorted([r for r in rows if r not in [(5, same, "s"), (9, other, "t")]], key=repr)
+    found = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in N.near_duplicates(df).collect()}
+    assert found == {(5, 3, 3, False), (5, 5, 2, True), (3, 3, 3, True), (9, 5, 2, False), (None, None, 1, True), (7, 7, 1, True)}
+
+
+def test_packed_bags_come_back():
+    x = np.array([0, 5, 2**48 - 1], np.uint64)
+    for count in ([1, 1, 1], [1, 70_000, 2]):
+        got = N.unpack(N.pack(x, np.array(count)))
+        assert got[0].tolist() == x.tolist() and got[1].tolist() == count
+    assert len(N.unpack(N.pack(x[:0], np.array([], int)))[0]) == 0
+
+
 def test_links_that_stars_miss_are_found(spark):
     """A chain a - b - c - d of near neighbours whose ends are far apart is one class."""
     rng = random.Random(9)
@@ -313,6 +330,15 @@ def test_notices_with_errors_beside_better_ones_are_found(spark):
     assert got == {1: [(0, 1)], 2: [(0, 2), (5, 0)], 3: [(0, 0)]}
 
 
+def test_a_long_run_of_near_notices_takes_linear_time():
+    import time
+
+    finder, part = L.Notices(), "licensed under the mlt licence foo "
+    began = time.process_time()
+    assert len(finder.find((part * 30_000).strip())) == 30_000  # 1 MB in one line
+    assert time.process_time() - began < 60
+
+
 def test_contamination_equals_brute_force(spark, rows):
     rng = random.Random(6)
     items = [(i, words(rng, n, 10**6)) for i, n in enumerate([1, 3, 5, 8, 20, 60, 150])] + [(50, None), (51, ""), (None, "x y z"), (52, "  ...")]
@@ -357,6 +383,16 @@ def test_mix_targets_and_caps(spark, rows):
     assert sorted_rows(mix_sources(table(spark, rows)), "doc_id", "taken") == sorted_rows(mix_sources(table(spark, rows).repartition(7)), "doc_id", "taken")
 
 
+def test_the_mix_takes_rows_by_their_own_text(spark, rows):
+    df = table(spark, [*rows, (5, "only two", "a"), (5, "", "b")])
+    per_row = sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.source or "", r.copies) for r in mix_sources(df).collect() if r.copies)
+    took = take_mix(df)
+    assert took.columns == ["doc_id", "text", "lang", "source", "n_chars", "id", "h", "d", "q", "hub", "copies", "size", "source_size", "target", "taken"]
+    got = took.collect()
+    assert all(r.size == len((r.text or "").split()) and r.taken == r.copies * r.size for r in got)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.source or "", r.copies) for r in got) == per_row
+
+
 def test_water_filling_equals_brute_force(spark):
     rng = random.Random(8)
     for case in range(4):

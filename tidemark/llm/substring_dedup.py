@@ -6,9 +6,9 @@ repeat is among the anchors of equal grams, which meet in one partition however
 
 1. Documents are spread over text groups. Each group sends the distinct hashes of its anchors, packed, to the hash's
    partition, which answers with a bit for each hash that another group has too.
-   Hashes of very many occurrences are told apart from the rest: of those ("hot anchors") the windows are dealt with one by
-   one, each going to the partition of its own digest, and equal windows of a group as one row, so that the occurrences of
-   a hot anchor spread over all partitions.
+   Hashes of very many occurrences are told apart from the rest: of those ("hot anchors") the suffixes are cut to windows
+   of LENGTH bytes, each going to the partition of its own hash, and equal windows of a group as one row, so that the
+   occurrences of a hot anchor spread over all partitions. They are sorted and scanned as all others are.
 2. Each group cuts the context of its repeated anchors: what a repeat of LENGTH bytes around the anchor can reach. Equal
    contexts within a group are settled there and only those of the smallest document travel on.
 3. A partition sorts its anchored suffixes into an enhanced suffix array (sorted order and longest common prefixes). A scan
@@ -173,15 +173,12 @@ def _answer(hot: int):
     return run
 
 
-def _windows(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest of the windows that start there: two polynomials of different bases."""
-    out = []
-    for base in (_B, 0xBEA225F9EB34556D):
-        h = np.zeros(len(starts), U)
-        for i in range(length):
-            h = h * U(base) + raw[starts + i].astype(U) + U(1)
-        out.append(mix(h))
-    return out[0], out[1]
+def _hash_windows(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the windows that start there."""
+    h = np.zeros(len(starts), U)
+    for i in range(length):
+        h = h * U(_B) + raw[starts + i].astype(U) + U(1)
+    return mix(h)
 
 
 def _contexts(parts: int, length: int, k: int):
@@ -220,10 +217,13 @@ def _contexts(parts: int, length: int, k: int):
             own = np.searchsorted(off, starts, "right") - 1
             inside = starts + length <= off[own + 1]
             starts, own = starts[inside], own[inside]
-            one, two = _windows(raw, starts, length)
-            order = np.lexsort((ids[own], two, one))
-            starts, own, one, two = starts[order], own[order], one[order], two[order]
-            begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(order) else order
+            h = _hash_windows(raw, starts, length)
+            order = np.lexsort((ids[own], h))
+            starts, own, h = starts[order], own[order], h[order]
+            same = h[1:] == h[:-1]
+            for i in range(length):
+                same &= raw[starts[1:] + i] == raw[starts[:-1] + i]
+            begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
             least = np.repeat(ids[own[begin]], np.diff(np.append(begin, len(order)))) if len(order) else ids[:0]
             place = starts - off[own]
             settled = ids[own] > least
@@ -232,12 +232,13 @@ def _contexts(parts: int, length: int, k: int):
                 out_p.append(-1 - q)
                 kinds.append(0)
             rest = np.flatnonzero(~settled)
-            part = (one[rest] % U(parts)).astype(np.int64)
+            part = (h[rest] % U(parts)).astype(np.int64)
             rest = rest[np.argsort(part, kind="stable")]
             edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 o = rest[edges[p] : edges[p + 1]]
-                blobs.append(_pack(one[o], two[o], ids[own[o]], own[o].astype(np.uint32), place[o].astype(np.uint32)))
+                windows = np.lib.stride_tricks.sliding_window_view(raw, length)[starts[o]]
+                blobs.append(_pack(ids[own[o]], own[o].astype(np.uint32), place[o].astype(np.uint32), windows))
                 out_p.append(int(p))
                 kinds.append(2)
         keep = (wanted & ~crowded)[first]
@@ -383,6 +384,20 @@ def repeats(ids: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.nd
     return far_left, far_right
 
 
+def whole_repeats(ids: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of suffixes that are one window long, which repeat one of a smaller id: the tree's nodes of that length, with no left to extend."""
+    n, length = windows.shape
+    out = np.zeros(n, bool)
+    if n < 2:
+        return out
+    order = _sort_rows(windows)
+    lcp = _common(windows, order[:-1], order[1:], np.full(n, length))
+    for _, low, high in zip(*prefix_intervals(lcp, length)):
+        member = order[low : high + 1]
+        out[member] = ids[member] > ids[member].min()
+    return out
+
+
 def _mark(length: int, k: int):
     kinds = ("<i8", "<u4", "<u4", "u1", "u1", "u1")
 
@@ -393,19 +408,17 @@ def _mark(length: int, k: int):
         sorts = table.column("kind").to_numpy()
         out_q, out = [], []
         if (sorts == 2).any():
-            asked = [(q, _unpack(b, "<u8", "<u8", "<i8", "<u4", "<u4")) for q, b, s in zip(qs, blobs, sorts) if s == 2]
-            one, two, who = (np.concatenate([a[1][i] for a in asked]) for i in range(3))
-            order = np.lexsort((who, two, one))
-            starts = np.flatnonzero(np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]))
-            least = np.empty(len(order), np.int64)
-            least[order] = np.repeat(who[order[starts]], np.diff(np.append(starts, len(order))))
+            asked = [(q, _unpack(b, "<i8", "<u4", "<u4", "u1")) for q, b, s in zip(qs, blobs, sorts) if s == 2]
+            who = np.concatenate([a[0] for _, a in asked])
+            windows = np.concatenate([a[3].reshape(-1, length) for _, a in asked])
+            far = whole_repeats(who, windows)
             at = 0
             for q, a in asked:
-                hit = who[at : at + len(a[0])] > least[at : at + len(a[0])]
+                hit = far[at : at + len(a[0])]
                 at += len(a[0])
                 if hit.any():
                     out_q.append(q)
-                    out.append(_pack(a[3][hit], a[4][hit], a[4][hit] + np.uint32(length)))
+                    out.append(_pack(a[1][hit], a[2][hit], a[2][hit] + np.uint32(length)))
         qs, blobs = qs[sorts == 1], [b for b, s in zip(blobs, sorts) if s == 1]
         if not blobs:
             return pa.table({"q": pa.array(out_q, pa.int64()), "blob": pa.array(out, pa.binary())})
