@@ -115,8 +115,12 @@ def test_verification(spark):
     assert (q.too_short, q.suspected_truncated, q.total) == (1, 1, 3)
     bad = verify.antibot_counts(df).first()
     assert bad.suspected_pages == 1 and bad.samples == ["403"]
-    gaps = verify.page_gaps(df).first()
-    assert (gaps.total_pages, gaps.first_page, gaps.last_page, gaps.gaps, gaps.per_page_counts) == (2, 1, 4, [2, 3], {"1": 1, "4": 1})
+    pages = verify.page_summary(df).first()
+    assert (pages.total_pages, pages.first_page, pages.last_page, pages.missing) == (2, 1, 4, 2)
+    assert [tuple(r) for r in verify.page_gaps(df).collect()] == [(2, 3)] and sorted(tuple(r) for r in verify.page_counts(df).collect()) == [(1, 1), (4, 1)]
+    odd = spark.createDataFrame([(f"http://e/?p={p}",) for p in ("1", "20240101123456", "99999999")], "url string")
+    assert sorted(tuple(r) for r in verify.page_gaps(odd).collect()) == [(2, 99999998), (100000000, 20240101123455)]
+    assert verify.page_gaps(df.limit(0)).count() == 0 and verify.page_summary(df.limit(0)).first().missing is None
     report = verify.verify(df, expected=5, baseline=df)
     assert report["status"] == "error" and report["details"]["reconciliation"]["missing"] == 2 and report["details"]["diff"]["changed"] == 0
     assert verify.verify(df.limit(0))["status"] == "error" and "status: error" in writers.format_report(report)
@@ -164,6 +168,32 @@ def test_queue_is_the_fold_of_its_log(spark):
     assert frontier.admit(new, got, cap=0).count() == 0
 
 
+def test_rate_gate_is_a_loop_over_each_domain(spark):
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    log = [(i, rng.choice(["hot", "hot", "hot", "a", None]), start + datetime.timedelta(seconds=rng.randrange(200))) for i in range(300)]
+    last, want = {}, {}
+    for i, domain, ts in sorted(log, key=lambda r: (r[2], r[0])):
+        want[i] = domain not in last or (ts - last[domain]).total_seconds() >= 2
+        last[domain] = ts
+    got = frontier.rate_gate(spark.createDataFrame(log, "id long, domain string, ts timestamp").repartition(4), "domain", "ts", 2.0, "id")
+    assert got.columns == ["id", "domain", "ts", "allowed"] and {r.id: r.allowed for r in got.collect()} == want
+    assert frontier.rate_gate(got.limit(0).drop("allowed"), "domain", "ts", 2.0).count() == 0
+
+
+def test_state_survives_a_save_that_is_cut_short(spark, tmp_path):
+    path = str(tmp_path / "s")
+    one, two = (spark.createDataFrame([(x,)], "x long") for x in (1, 2))
+    assert writers.load_state(spark, path, "x long").count() == 0
+    writers.save_state(one, path)
+    with pytest.raises(Exception):  # noqa: B017
+        writers.save_state(two.selectExpr("assert_true(x < 0) AS y", "x"), path)
+    assert [r.x for r in writers.load_state(spark, path, "x long").collect()] == [1]
+    writers.save_state(two, path)
+    writers.save_state(one, path)
+    assert [r.x for r in writers.load_state(spark, path, "x long").collect()] == [1]
+
+
 def test_adaptive_interval_is_the_sequential_fold(spark):
     rng = random.Random(4)
     for n in (0, 1, 500, 12000):
@@ -174,7 +204,8 @@ def test_adaptive_interval_is_the_sequential_fold(spark):
                 x = min(x * 1.5, 30)
             elif 0 < r < 1:
                 x = max(x * 0.8, 1)
-        got = frontier.adaptive_interval(spark.createDataFrame(times, "o long, r double"), "r", "o").first()[0]
+        log = spark.createDataFrame([(i if i < n / 2 else i + 10**12, r) for i, r in times], "o long, r double")
+        got = frontier.adaptive_interval(log, "r", "o", stretch=37).first()[0]
         assert got == pytest.approx(x)
 
 
@@ -327,4 +358,4 @@ def test_streams_equal_batches(spark, tmp_path):
     got = []
     pages = stream.select("url", F.col("text").alias("content"), "ts", F.col("url").alias("title"))
     inc.incremental(pages, str(tmp_path / "state"), str(tmp_path / "inc-c"), lambda df, n: got.append(df.count()), most=5).awaitTermination(120)
-    assert got[0] == 10 and len(got) >= 2 and spark.read.parquet(str(tmp_path / "state")).count() == 5
+    assert got[0] == 10 and len(got) >= 2 and writers.load_state(spark, str(tmp_path / "state"), inc.HISTORY).count() == 5

@@ -385,28 +385,67 @@ EXTRACTORS: dict[str, tuple[str, Callable]] = {
 }
 
 
-def parse_pages(pages: DataFrame, wanted: tuple[str, ...] = ("title", "text", "links"), key: str = "page_id", url: str = "url", html: str = "html", max_chars: int = 0) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, wanted: tuple[str, ...] = ("title", "text", "links"), key: str = "page_id", url: str = "url", html: str = "html", max_chars: int = 0,
+    fields: dict[str, tuple[str, str]] | None = None, paths: dict[str, str] | None = None, detail: dict | None = None,
+) -> DataFrame:
     """``key, url`` and the wanted extractors of every page that has html; only they run, and each page is parsed once for them.
 
-    A page that fails comes back with nulls and its error in ``error``.
+    ``fields`` are named (selector, attribute) pairs and ``paths`` named XPaths, each giving a list of strings; ``detail``
+    are the arguments of ``detail_links``, whose result is a column of that name. A page that fails comes back with nulls
+    and its error in ``error``.
     """
     ship(pages.sparkSession)
     kind = dict(pages.dtypes)[key]
-    schema = ", ".join([f"`{key}` {kind}", "url string", *(f"`{w}` {EXTRACTORS[w][0]}" for w in wanted), "error string"])
+    fields, paths = fields or {}, paths or {}
+    lists = [*fields, *paths, *(["detail_links"] if detail is not None else [])]
+    names = [*wanted, *lists]
+    schema = ", ".join([f"`{key}` {kind}", "url string", *(f"`{w}` {EXTRACTORS[w][0]}" for w in wanted), *(f"`{n}` {_STRINGS}" for n in lists), "error string"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for k, u, h in zip(frame["_k"], frame["_u"], frame["_h"]):
-                row = {key: k, "url": u, "error": None} | dict.fromkeys(wanted)
+                row = {key: k, "url": u, "error": None} | dict.fromkeys(names)
                 try:
                     root = parse(h)
                     base = base_url(root, u or "")
                     row |= {w: EXTRACTORS[w][1](root, h, base, max_chars) for w in wanted}
+                    row |= {n: attribute(root, selector, name, base) for n, (selector, name) in fields.items()}
+                    if paths:
+                        row |= quick(root, paths, base)
+                    if detail is not None:
+                        row["detail_links"] = detail_links(root, base, **detail)
                 except Exception as e:  # a page's failure is data
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=[key, "url", *wanted, "error"], dtype=object if not rows else None)
+            yield pd.DataFrame(rows, columns=[key, "url", *names, "error"], dtype=object if not rows else None)
 
     given = pages.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(html).alias("_h")).where("_h is not null")
     return given.mapInPandas(run, schema)
+
+
+#: What ``by_type`` knows: the extractors, and these.
+TYPES = {"og": "open_graph", "twitter": "twitter_card"}
+
+
+def by_type(pages: DataFrame, types: tuple[str, ...], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key, url, content``: the content types asked for as one map of JSON texts; null for a type that isn't known.
+
+    ``open_graph`` holds both og and twitter properties, and ``custom_fields`` is always an empty object.
+    """
+    need = tuple(dict.fromkeys(w for t in types for w in (("open_graph", "twitter_card") if t == "open_graph" else (t,)) if w in EXTRACTORS))
+    found = parse_pages(pages, need, key, url, html)
+    cells = []
+    for t in types:
+        if t == "open_graph":
+            value = F.to_json(F.struct(F.col("open_graph").alias("og"), F.col("twitter_card").alias("twitter")))
+        elif t == "custom_fields":
+            value = F.lit("{}")
+        elif t in EXTRACTORS:
+            value = F.to_json(F.struct(F.col(t).alias("v")), {"ignoreNullFields": "false"})
+            value = F.regexp_extract(value, r'^\{"v":([\s\S]*)\}$', 1)
+        else:
+            value = F.lit(None).cast("string")
+        cells += [F.lit(t), value]
+    return found.select(key, "url", F.create_map(*cells).alias("content"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import next_page_url, page_pattern
@@ -10,21 +12,26 @@ from tidemark.html.parser import parse_pages
 from tidemark.session import cut
 
 
-def paginate_walk(starts: DataFrame, pages: DataFrame, next_url: str | None = None, max_pages: int = 20, max_empty: int = 2) -> DataFrame:
+def paginate_walk(
+    starts: DataFrame, pages: DataFrame, next_url: str | None = None, max_pages: int = 20, max_empty: int = 2, mode: str = "auto", go_on: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """``start, step, url, stop``: the pages of each start (column ``url``), and on the last row why the walk stopped.
 
-    The next page comes of the column ``next_url`` of ``pages`` (url, html), or of the URL's pattern. Each round joins the
-    frontier with the pages: all walks go a page on at a time. Reasons: max_pages, duplicate_url, fetch_failed,
-    consecutive_empty, no_more_pages.
+    The next page comes of the column ``next_url`` of ``pages`` (url, html), or of the URL's pattern. ``go_on`` is a
+    condition on (url, html) under which a walk goes on behind a page. Each round joins the frontier with the pages: all
+    walks go a page on at a time. Reasons: max_pages, duplicate_url, fetch_failed, consecutive_empty, callback_stopped, and
+    where there is no next page no_more_pages, or in the modes ``pattern`` pattern_lost and ``next_link`` no_next_link.
     """
-    known = pages.select(F.col("url").alias("p"), F.length("html").alias("size"), (F.col(next_url) if next_url else next_page_url(F.col("url"))).alias("to")).dropDuplicates(["p"])
+    ended = {"pattern": "pattern_lost", "next_link": "no_next_link"}.get(mode, "no_more_pages")
+    onward = F.coalesce(go_on(F.col("url"), F.col("html")), F.lit(False)) if go_on else F.lit(True)
+    known = pages.select(F.col("url").alias("p"), F.length("html").alias("size"), (F.col(next_url) if next_url else next_page_url(F.col("url"))).alias("to"), onward.alias("onward")).dropDuplicates(["p"])
     front = starts.select(F.col("url").alias("start"), "url", F.array(F.col("url")).alias("seen"), F.lit(0).alias("empty"))
     out = None
     for step in range(max_pages):
         got = front.join(known, F.col("url") == F.col("p"), "left")
         empty = F.when(F.coalesce("size", F.lit(0)) == 0, F.col("empty") + 1).otherwise(0)
         stop = (
-            F.when(F.col("p").isNull(), "fetch_failed").when(empty >= max_empty, "consecutive_empty").when(F.col("to").isNull(), "no_more_pages")
+            F.when(F.col("p").isNull(), "fetch_failed").when(empty >= max_empty, "consecutive_empty").when(~F.col("onward"), "callback_stopped").when(F.col("to").isNull(), ended)
             .when(F.array_contains("seen", F.col("to")), "duplicate_url").when(F.lit(step + 1 >= max_pages), "max_pages")
         )
         got = cut(got.select("start", F.lit(step).alias("step"), "url", stop.alias("stop"), "to", "seen", empty.alias("empty")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut, ranked
+
 MAX_RETRIES = 3
 
 
@@ -89,43 +91,44 @@ def content_changed(pages: DataFrame, history: DataFrame, mode: str = "content_h
     return joined.select("url", differs.alias("changed"))
 
 
-def rate_gate(log: DataFrame, domain: str, ts: str, seconds: float) -> DataFrame:
+def rate_gate(log: DataFrame, domain: str, ts: str, seconds: float, tie: str | None = None) -> DataFrame:
     """Each request with whether its domain's interval had passed since the request before.
 
-    Only the gap to the one before counts, as every request is recorded.
+    Only the gap to the one before counts, as every request is recorded; of requests of one time that with the smallest
+    ``tie`` is first. The order is made by a range sort over all domains, and each request is joined with the rank before
+    it, so a hot domain is spread over tasks. Requests without a domain are of one domain.
     """
-    prior = F.lag(ts).over(Window.partitionBy(domain).orderBy(ts))
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prior.cast("timestamp"))
-    return log.withColumn("allowed", F.coalesce(gap >= int(seconds * 1e6), F.lit(True)))
+    placed = cut(ranked(log, [F.col(c) for c in (domain, ts, *([tie] if tie else []))]))
+    before = placed.select((F.col("rank") + 1).alias("rank"), F.col(domain).alias("_d"), F.col(ts).alias("_t"), F.lit(True).alias("_same"))
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp"))
+    same = F.col("_same") & F.col(domain).eqNullSafe(F.col("_d"))
+    joined = placed.join(before, "rank", "left").withColumn("allowed", F.coalesce(F.when(same, gap >= int(seconds * 1e6)), F.lit(True)))
+    return joined.select(*log.columns, "allowed")
 
 
-def adaptive_interval(log: DataFrame, response: str, order: str, start: float = 1.0, least: float = 1.0, most: float = 30.0, target: float = 2.0) -> DataFrame:
+def adaptive_interval(log: DataFrame, response: str, order: str, start: float = 1.0, least: float = 1.0, most: float = 30.0, target: float = 2.0, stretch: int = 5000) -> DataFrame:
     """The interval after all responses: half as long again when slow, a fifth less when quick, within bounds.
 
-    The fold is a chain of clamped multiplications x -> min(most, max(least, a x)). Such maps are closed under
-    composition, so each stretch of the log is folded into one by itself and only those are folded at the end.
+    The fold is a chain of clamped multiplications x -> min(hi, max(lo, a x)). Such maps are closed under composition, so
+    each ``stretch`` of the log by rank is folded into one map by itself, then each stretch of maps, until one is left.
     """
-    stretches = log.where(F.col(response) > 0).select(F.col(order).alias("o"), F.col(response).cast("double").alias("r"))
-    # x -> min(hi, max(lo, a x)): a is kept as powers of 3/2 and 4/5, so that the result doesn't depend on the stretches
-    row = stretches.agg(F.min("o").alias("a"), F.max("o").alias("b"), F.count("*").alias("n")).first()
-    if not row["n"]:
-        return log.sparkSession.createDataFrame([(float(start),)], "interval double")
-    width = max(1, (int(row["b"]) - int(row["a"]) + 1) // max(1, row["n"] // 5000))
-    chunks = stretches.groupBy(F.floor((F.col("o") - row["a"]) / width).alias("c")).agg(F.array_sort(F.collect_list(F.struct("o", "r"))).alias("rs"))
-    one = F.struct(F.lit(1.0).alias("a"), F.lit(least).alias("lo"), F.lit(most).alias("hi"))
-
-    def clamp(x):
-        return F.least(F.lit(most), F.greatest(F.lit(least), x))
-
-    def step(acc, x):
-        f = F.when(x["r"] > 2 * target, 1.5).when(x["r"] < 0.5 * target, 0.8).otherwise(1.0)
-        return F.struct((acc["a"] * f).alias("a"), clamp(acc["lo"] * f).alias("lo"), clamp(acc["hi"] * f).alias("hi"))
-
-    maps = chunks.select("c", F.aggregate("rs", one, step).alias("m")).orderBy("c")
-    value = float(start)
-    for r in maps.toLocalIterator():  # one small row a stretch of about 5,000 responses
-        value = min(r["m"]["hi"], max(r["m"]["lo"], r["m"]["a"] * value))
-    return log.sparkSession.createDataFrame([(value,)], "interval double")
+    rows = log.where(F.col(response) > 0).select(F.col(order).alias("o"), F.col(response).cast("double").alias("r"))
+    factor = F.when(F.col("r") > 2 * target, 1.5).when(F.col("r") < 0.5 * target, 0.8).otherwise(1.0)
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(float(least)).alias("lo"), F.lit(float(most)).alias("hi"))
+    step = F.struct(factor.alias("a"), F.lit(float(least)).alias("lo"), F.lit(float(most)).alias("hi"))
+    maps = cut(ranked(rows, [F.col("o")]).select("rank", step.alias("m")))
+
+    def then(first, second):
+        def through(x):
+            return F.least(second["hi"], F.greatest(second["lo"], second["a"] * x))
+
+        return F.struct((first["a"] * second["a"]).alias("a"), through(first["lo"]).alias("lo"), through(first["hi"]).alias("hi"))
+
+    while maps.count() > 1:
+        groups = maps.groupBy(F.floor(F.col("rank") / stretch).alias("rank")).agg(F.array_sort(F.collect_list(F.struct("rank", "m"))).alias("ms"))
+        maps = cut(groups.select("rank", F.aggregate("ms", one, lambda acc, x: then(acc, x["m"])).alias("m")))
+    value = F.least(F.col("m")["hi"], F.greatest(F.col("m")["lo"], F.col("m")["a"] * F.lit(float(start))))
+    return maps.agg(F.coalesce(F.max(value), F.lit(float(start))).alias("interval"))
 
 
 def hook_stats(log: DataFrame, success: str, elapsed: str) -> DataFrame:

@@ -154,14 +154,25 @@ def antibot_counts(df: DataFrame, order: str = "ord", samples: int = 5) -> DataF
     return counts.join(F.broadcast(first)).select("suspected_pages", "samples", "total")
 
 
-def page_gaps(df: DataFrame) -> DataFrame:
-    """Pages, the first, the last, missing ones and rows a page; null counts where no row has a page number."""
+def page_counts(df: DataFrame) -> DataFrame:
+    """``page, rows``: rows of each page number, from a page column or else the URL; rows without one are left out."""
     aliases = [F.when(F.try_to_number(F.col(n).cast("string"), F.lit("9" * 18)) != 0, F.try_to_number(F.col(n).cast("string"), F.lit("9" * 18)).cast("long")) for n in ("page", "page_num", "pageNum") if n in df.columns]
     by_url = page_number(F.coalesce(alias_chain(df, "url", "link"), F.lit("")))
-    counted = df.select(F.coalesce(*aliases, by_url).alias("page")).where("page is not null").groupBy("page").agg(F.count("*").alias("n"))
-    one = counted.agg(F.count("*").alias("total_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("page", "n")))).alias("m"))
-    gaps = F.when(F.col("total_pages") > 0, F.array_except(F.sequence("first_page", "last_page"), F.map_keys("m")))
-    return one.select("total_pages", "first_page", "last_page", gaps.alias("gaps"), F.transform_keys("m", lambda k, v: k.cast("string")).alias("per_page_counts"))
+    return df.select(F.coalesce(*aliases, by_url).alias("page")).where("page is not null").groupBy("page").agg(F.count("*").alias("rows"))
+
+
+def page_gaps(df: DataFrame) -> DataFrame:
+    """``first, last``: the ranges of page numbers that are missing between others, however wide they are."""
+    placed = cut(ranked(page_counts(df).select("page"), [F.col("page")]))
+    after = placed.select((F.col("rank") - 1).alias("rank"), F.col("page").alias("next"))
+    return placed.join(after, "rank").where(F.col("next") > F.col("page") + 1).select((F.col("page") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+
+
+def page_summary(df: DataFrame) -> DataFrame:
+    """One row: pages, the first, the last and how many are missing between; nulls where no row has a page number."""
+    missing = F.col("last_page") - F.col("first_page") + 1 - F.col("total_pages")
+    one = page_counts(df).agg(F.count("*").alias("total_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    return one.select("total_pages", "first_page", "last_page", missing.alias("missing"))
 
 
 def snapshot_diff(base: DataFrame, current: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -187,21 +198,22 @@ def reconcile(df: DataFrame, expected: int) -> DataFrame:
     return df.agg(n.alias("actual"), F.lit(expected).cast("long").alias("expected"), (F.lit(expected) - n).alias("missing"), F.when(n == expected, "ok").otherwise("warning").alias("status"))
 
 
-def verify(df: DataFrame, order: str = "ord", expected: int | None = None, baseline: DataFrame | None = None, key: tuple[str, ...] = ("url", "id", "link"), null_rate: float = 0.3) -> dict:
-    """The whole report as a dictionary: status, warnings, errors and the sections above."""
+def verify(df: DataFrame, order: str = "ord", expected: int | None = None, baseline: DataFrame | None = None, key: tuple[str, ...] = ("url", "id", "link"), null_rate: float = 0.3, gaps: int = 100) -> dict:
+    """The whole report as a dictionary: status, warnings, errors and the sections above, with the first ``gaps`` ranges of missing pages."""
     df = cut(df)
     stats = [r.asDict() for r in field_stats(df).collect()]
     total = stats[0]["fill_count"] + stats[0]["null_count"] if stats else 0
     if not total:
         return {"status": "error", "errors": ["no rows"], "warnings": [], "details": {}}
     details = {"fields": stats}
-    for name, section in (("duplicates", dup_counts(df, order)), ("quality", quality_counts(df)), ("blocked", antibot_counts(df, order)), ("pagination", page_gaps(df))):
+    for name, section in (("duplicates", dup_counts(df, order)), ("quality", quality_counts(df)), ("blocked", antibot_counts(df, order)), ("pagination", page_summary(df))):
         details[name] = section.first().asDict()
     warnings = [f"null rate of {s['field']}: {s['null_rate']}" for s in stats if s["null_rate"] > null_rate]
     warnings += [f"{k}: {details['duplicates'][k]}" for k in ("url_duplicates", "content_duplicates", "near_duplicates") if details["duplicates"][k]]
     warnings += [f"{k}: {v}" for k, v in details["quality"].items() if k != "total" and v]
-    if details["pagination"]["gaps"]:
-        warnings.append(f"missing pages: {details['pagination']['gaps']}")
+    if details["pagination"]["missing"]:
+        details["pagination"]["gaps"] = [tuple(r) for r in page_gaps(df).orderBy("first").limit(gaps).collect()]
+        warnings.append(f"missing pages: {details['pagination']['missing']}, the first of them {details['pagination']['gaps']}")
     errors = [f"suspected pages: {details['blocked']['suspected_pages']}"] if details["blocked"]["suspected_pages"] else []
     if expected is not None and expected != total:
         details["reconciliation"] = {"expected": expected, "actual": total, "missing": expected - total}

@@ -134,13 +134,14 @@ def _changed(spark, d):
 
 @query("detail_links", "SELECT page_id, list_sort(list_distinct(list_filter(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), lambda h: regexp_matches(h, '^/[a-z]') AND NOT regexp_matches(h, '[.,]$')))) AS links FROM pages")
 def _dlinks(spark, d):
-    found = F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.array_sort(F.array_distinct(F.filter(found, lambda h: h.rlike("^/[a-z]") & ~h.rlike("[.,]$")))).alias("links"))
+    """The operator's links, shown without their host as the SQL has them."""
+    found = parse_pages(spread(table(spark, d, "pages")), (), detail={"include": (r"^https?://[^/]+/[a-z]",), "exclude": ("[.,]$",)})
+    return found.select("page_id", F.array_sort(F.transform("detail_links", lambda u: F.regexp_replace(u, "^https?://[^/]+", ""))).alias("links"))
 
 
 @query("rate_gate", "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 3600000000, true) AS allowed FROM events")
 def _gate(spark, d):
-    return frontier.rate_gate(table(spark, d, "events"), "user_id", "ts", 3600.0).select("event_id", "allowed")
+    return frontier.rate_gate(table(spark, d, "events"), "user_id", "ts", 3600.0, "event_id").select("event_id", "allowed")
 
 
 def _field_sql(name: str, kind: str) -> str:
@@ -198,17 +199,23 @@ def _antibot(spark, d):
     return found.select("suspected_pages", F.array_join("samples", "|").alias("samples"), "total")
 
 
-@query(
-    "page_gaps",
-    """WITH p AS (SELECT TRY_CAST(nullif(coalesce(nullif(regexp_extract(url, '(?i)[&?](?:page|pagenum|pg|pn|p)=([0-9]+)', 1), ''), nullif(regexp_extract(url, '(?i)/page/([0-9]+)', 1), ''), nullif(regexp_extract(url, '-([0-9]+)\\.html?', 1), '')), '') AS BIGINT) AS page FROM pages),
-c AS (SELECT page, count(*) AS n FROM p WHERE page IS NOT NULL GROUP BY page)
-SELECT count(*)::BIGINT AS total_pages, min(page) AS first_page, max(page) AS last_page, array_to_string(list_filter(range(min(page), max(page) + 1), lambda x: NOT list_contains(list(page), x)), ',') AS gaps, string_agg(page || ':' || n, ',' ORDER BY page) AS counts FROM c""",
-)
+_PAGES = """p AS (SELECT TRY_CAST(nullif(coalesce(nullif(regexp_extract(url, '(?i)[&?](?:page|pagenum|pg|pn|p)=([0-9]+)', 1), ''), nullif(regexp_extract(url, '(?i)/page/([0-9]+)', 1), ''), nullif(regexp_extract(url, '-([0-9]+)\\.html?', 1), '')), '') AS BIGINT) AS page FROM pages),
+c AS (SELECT page, count(*)::BIGINT AS rows FROM p WHERE page IS NOT NULL GROUP BY page)"""
+
+
+@query("page_gaps", f"WITH {_PAGES}, n AS (SELECT page, lead(page) OVER (ORDER BY page) AS nxt FROM c) SELECT page + 1 AS first, nxt - 1 AS last FROM n WHERE nxt > page + 1")
 def _gaps(spark, d):
-    found = verify.page_gaps(table(spark, d, "pages").select("url"))
-    entries = F.array_sort(F.transform(F.map_entries("per_page_counts"), lambda e: F.struct(e["key"].cast("long").alias("k"), e["value"].alias("v"))))
-    counts = F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit(":"), e["v"])), ",")
-    return found.select("total_pages", "first_page", "last_page", F.array_join(F.transform("gaps", lambda g: g.cast("string")), ",").alias("gaps"), counts.alias("counts"))
+    return verify.page_gaps(table(spark, d, "pages").select("url"))
+
+
+@query("page_counts", f"WITH {_PAGES} SELECT page, rows FROM c")
+def _pcounts(spark, d):
+    return verify.page_counts(table(spark, d, "pages").select("url"))
+
+
+@query("page_summary", f"WITH {_PAGES} SELECT count(*)::BIGINT AS total_pages, min(page) AS first_page, max(page) AS last_page, max(page) - min(page) + 1 - count(*)::BIGINT AS missing FROM c")
+def _psummary(spark, d):
+    return verify.page_summary(table(spark, d, "pages").select("url"))
 
 
 @query(
@@ -248,16 +255,41 @@ def _log(spark, d):
     return table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), named[F.col("event_type")].alias("event"), F.col("event_id").alias("ord"))
 
 
-@query("queue_stats")
+_FOLD = """RECURSIVE q AS (SELECT user_id, event_id AS o, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'next' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'requeue' END AS e,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f(user_id, i, state, priority, retries, added) AS (SELECT DISTINCT user_id, 0::BIGINT, '', 0, 0, -1::BIGINT FROM q UNION ALL
+  SELECT f.user_id, q.i,
+    CASE WHEN e = 'add' AND state = '' THEN 'pending' WHEN e = 'next' AND state = 'pending' THEN 'processing' WHEN e = 'done' AND state IN ('processing', 'pending') THEN 'done'
+      WHEN e = 'failed' AND state = 'processing' THEN CASE WHEN retries < 3 THEN 'pending' ELSE 'failed' END WHEN e = 'requeue' AND state = 'failed' THEN 'pending' ELSE state END,
+    CASE WHEN e = 'add' AND state = '' THEN 0 WHEN e = 'failed' AND state = 'processing' AND retries < 3 THEN retries + 1 WHEN e = 'requeue' AND state = 'failed' THEN 0 ELSE priority END,
+    CASE WHEN e = 'add' AND state = '' THEN 0 WHEN e = 'failed' AND state = 'processing' AND retries < 3 THEN retries + 1 WHEN e = 'requeue' AND state = 'failed' THEN 0 ELSE retries END,
+    CASE WHEN (e = 'add' AND state = '') OR (e = 'failed' AND state = 'processing' AND retries < 3) OR (e = 'requeue' AND state = 'failed') THEN q.o ELSE added END
+  FROM f JOIN q ON q.user_id = f.user_id AND q.i = f.i + 1),
+s AS (SELECT 'u' || f.user_id AS url, state, priority::INT AS priority, retries::INT AS retries, added FROM f JOIN (SELECT DISTINCT user_id, n FROM q) z ON z.user_id = f.user_id AND z.n = f.i WHERE state <> '')"""
+
+
+@query("queue_stats", f"WITH {_FOLD} SELECT count_if(state = 'pending')::BIGINT AS pending, count_if(state = 'processing')::BIGINT AS processing, count_if(state = 'done')::BIGINT AS done, count_if(state = 'failed')::BIGINT AS failed, count(*)::BIGINT AS total FROM s")
 def _queue_stats(spark, d):
     return frontier.queue_stats(frontier.queue_state(_log(spark, d)))
 
 
-@query("queue_state")
+@query("queue_state", f"WITH {_FOLD} SELECT * FROM s")
 def _queue_state(spark, d):
     return frontier.queue_state(_log(spark, d))
 
 
+@query("queue_recover", f"WITH {_FOLD} SELECT url, CASE WHEN state = 'processing' THEN 'pending' ELSE state END AS state, CASE WHEN state = 'processing' THEN 0 ELSE priority END AS priority, retries, added FROM s")
+def _queue_recover(spark, d):
+    return frontier.recover(frontier.queue_state(_log(spark, d)))
+
+
+@query("queue_admit", f"WITH {_FOLD} SELECT 'u' || (user_id * 2) AS url, (min(event_id) % 5)::INT AS priority, min(event_id) AS ord FROM events WHERE 'u' || (user_id * 2) NOT IN (SELECT url FROM s) GROUP BY user_id")
+def _queue_admit(spark, d):
+    """The first of each new URL, while there is room for 50,000."""
+    seen = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id") * 2).alias("url"), F.pmod("event_id", F.lit(5)).cast("int").alias("priority"), F.col("event_id").alias("ord"))
+    return frontier.admit(seen, frontier.queue_state(_log(spark, d))).select("url", "priority", "ord")
+
+
 _PENDING = "state AS (SELECT user_id, min(event_id) AS added, count(*) AS n FROM events GROUP BY user_id)"
 
 
@@ -293,15 +325,15 @@ def _adaptive(spark, d):
     return frontier.adaptive_interval(table(spark, d, "events"), "value", "event_id").select(F.round("interval", 6).alias("interval"))
 
 
-@query("task_order", "SELECT p_partkey, greatest(1, least(10, p_size - 5))::INT AS priority, row_number() OVER (ORDER BY greatest(1, least(10, p_size - 5)), p_partkey)::INT AS place FROM part ORDER BY place LIMIT 50")
+@query("task_order", "SELECT p_partkey, greatest(1, least(10, p_size - 5))::INT AS priority, row_number() OVER (ORDER BY greatest(1, least(10, p_size - 5)), p_partkey)::INT AS place FROM part")
 def _tasks(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.greatest(F.lit(1), F.least(F.lit(10), F.col("p_size") - 5)).cast("int").alias("priority"))
-    return schedule.task_places(p, key="p_partkey").where("place <= 50")  # the SQL's LIMIT
+    return schedule.task_places(p, key="p_partkey")
 
 
-@query("top_details", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
+@query("top_details", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 20")
 def _top(spark, d):
-    return crawl.top_details(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)
+    return crawl.top_details(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 20)
 
 
 @query("list_detail", """WITH e AS (SELECT lang, url, row_number() OVER (PARTITION BY lang ORDER BY url) - 1 AS rank FROM (SELECT DISTINCT regexp_extract(url, '/([a-z]{2})/', 1) AS lang, url FROM pages))
@@ -315,8 +347,8 @@ def _details(spark, d):
 @query(
     "paginate_walk",
     """WITH RECURSIVE p AS (SELECT url, lead(url) OVER (PARTITION BY host ORDER BY url) AS nxt, host FROM (SELECT DISTINCT url, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)),
-w(start, step, url, nxt) AS (SELECT url, 0, url, nxt FROM p WHERE url IN (SELECT min(url) FROM p GROUP BY host) UNION ALL SELECT w.start, w.step + 1, p.url, p.nxt FROM w JOIN p ON p.url = w.nxt WHERE w.step < 4)
-SELECT start, step::INT AS step, url, CASE WHEN nxt IS NULL THEN 'no_more_pages' WHEN step >= 4 THEN 'max_pages' END AS stop FROM w""",
+w(start, step, url, nxt) AS (SELECT url, 0, url, nxt FROM p WHERE url IN (SELECT min(url) FROM p GROUP BY host) UNION ALL SELECT w.start, w.step + 1, p.url, p.nxt FROM w JOIN p ON p.url = w.nxt WHERE w.step < 19)
+SELECT start, step::INT AS step, url, CASE WHEN nxt IS NULL THEN 'no_more_pages' WHEN step >= 19 THEN 'max_pages' END AS stop FROM w""",
 )
 def _walk(spark, d):
     from pyspark.sql import Window
@@ -325,7 +357,7 @@ def _walk(spark, d):
     p = table(spark, d, "pages").select("url", "html", host.alias("host"))
     p = p.withColumn("nxt", F.lead("url").over(Window.partitionBy("host").orderBy("url")))
     starts = p.groupBy("host").agg(F.min("url").alias("url")).select("url")
-    return crawl.paginate_walk(starts, p, "nxt", max_pages=5)
+    return crawl.paginate_walk(starts, p, "nxt")
 
 
 @query("parse_title", """SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&copy;', '©'), '\\s*[-–|·•].*', ''), '^\\s+|\\s+$', '', 'g') AS title FROM pages""")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import data_queries, io_queries, text_queries
+from tidemark.plans import data_queries, html_queries, io_queries, state_queries, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return text_queries.QUERIES | data_queries.QUERIES | io_queries.QUERIES
+    return text_queries.QUERIES | data_queries.QUERIES | html_queries.QUERIES | state_queries.QUERIES | io_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.SQL | data_queries.SQL | io_queries.SQL
+    return text_queries.SQL | data_queries.SQL | html_queries.SQL | state_queries.SQL | io_queries.SQL

@@ -13,6 +13,7 @@ import json
 import logging
 import os
 import sqlite3
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -22,8 +23,10 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tidemark.operators.clean import auto_format, project
+from tidemark.session import discard, scratch, ship
 from tidemark.sources.readers import quoted
 
 log = logging.getLogger(__name__)
@@ -272,14 +275,31 @@ def save(df: DataFrame, path: str, fmt: str | None = None, twin: bool = False, o
     return target
 
 
-def export(df: DataFrame, path: str, fmt: str | None = None, fields: list[str] | None = None, mapping: dict[str, str] | None = None, delimiter: str = ",") -> dict:
-    """Projected, renamed and written by format or suffix (JSON by default); returns the path, the format and the count."""
+def export(df: DataFrame, path: str, fmt: str | None = None, fields: list[str] | None = None, mapping: dict[str, str] | None = None, delimiter: str = ",", batch_size: int = 1000) -> dict:
+    """Projected, renamed and written by format or suffix (JSON by default).
+
+    Returns the path, the format, the count, the batches of ``batch_size`` that JSON lines, CSV and SQLite take when there
+    are more rows than that (1 for the others), and the errors.
+    """
     kind = fmt or BY_SUFFIX.get(Path(path).suffix.lower(), "json")
     if kind not in WRITERS:
         raise ValueError(f"unknown format: {kind}")
     out = project(df, fields, mapping)
-    n = write_csv(out, path, delimiter) if kind == "csv" else write_sections(out, path) if kind == "markdown" else write_sqlite(out, path, "crawled_data", "append") if kind == "sqlite" else WRITERS[kind](out, path)
-    return {"path": path, "format": kind, "count": n}
+    batches, errors = 1, []
+    try:
+        if kind == "csv":
+            n = write_csv(out, path, delimiter)
+        elif kind == "markdown":
+            n = write_sections(out, path)
+        elif kind == "sqlite":
+            n = write_sqlite(out, path, "crawled_data", "append", batch_size)
+        else:
+            n = WRITERS[kind](out, path)
+        if kind in ("jsonl", "csv", "sqlite") and n > batch_size > 0:
+            batches = -(-n // batch_size)
+    except OSError as e:
+        n, batches, errors = 0, 0, [str(e)]
+    return {"path": path, "format": kind, "count": n, "batches": batches, "errors": errors}
 
 
 def save_report(report: dict, path: str) -> None:
@@ -295,22 +315,131 @@ def format_report(report: dict) -> str:
     return "\n".join(out)
 
 
+def _versions(spark, path: str) -> tuple[list[int], object, object]:
+    """Numbers of the whole versions at a path in order, the file system and the path. A version is whole once Spark has marked it so."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(at, f"{n}/_SUCCESS")))
+    return found, fs, at
+
+
 def save_state(state: DataFrame, path: str) -> None:
-    """Queue, history or tasks as a table; written beside the old one and moved into its place."""
-    state.write.mode("overwrite").parquet(f"{path}.new")
+    """Queue, history or tasks as the next version of a table. Readers take the last whole one, so a save that is cut short changes nothing."""
     spark = state.sparkSession
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not move the state to {path}")
+    found, fs, at = _versions(spark, path)
+    number = found[-1] + 1 if found else 0
+    state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{number}")
+    for old in found[:-1]:  # the one before stays for those that read it now
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"v{old}"), True)
 
 
 def load_state(spark, path: str, schema: str) -> DataFrame:
-    """The saved state; where there is none or it can't be read, an empty one."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        log.warning("no state at %s: %s", path, e)
+    """The last whole version of the saved state; an empty one where none was ever saved. What can't be read is an error."""
+    found, _, _ = _versions(spark, path)
+    if not found:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v{found[-1]}")
+
+
+def spark_text(df: DataFrame, path: str, fmt: str = "txt") -> None:
+    """Text records or a Markdown table in parts, by all executors; each part of a table has its head."""
+    if fmt == "txt":
+        lines = []
+        for f in df.schema.fields:
+            c = F.col(f"`{f.name}`")
+            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+            lines.append(F.concat(F.lit(f"{f.name}: "), F.coalesce(F.to_json(c) if nested else c.cast("string"), F.lit("(空)"))))
+        df.select(F.concat_ws("\n", *lines, F.lit("=" * 60)).alias("value")).write.mode("overwrite").text(path)
+        return
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        shown = F.to_json(c) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else c.cast("string")
+        cells.append(F.replace(F.regexp_replace(F.replace(F.coalesce(shown, F.lit("")), F.lit("\r"), F.lit("")), "\n", " "), F.lit("|"), F.lit("\\|")))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "| " + " | ".join(_cell(c) for c in df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |\n"
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    df.select(F.when(first, F.concat(F.lit(head), row)).otherwise(row).alias("value")).write.mode("overwrite").text(path)
+
+
+class _Staged(WriterCommitMessage):
+    def __init__(self, name: str, rows: int) -> None:
+        self.name, self.rows = name, rows
+
+
+class _SQLiteWriter(DataSourceWriter):
+    """Each task stages its rows as a SQLite file in a folder that all share; the commit takes them into the target at once."""
+
+    def __init__(self, path: str, table: str, stage: str, names: list[str], overwrite: bool) -> None:
+        self.path, self.table, self.stage, self.names, self.overwrite = path, table, stage, names, overwrite
+
+    def _create(self, con: sqlite3.Connection, table: str) -> None:
+        columns = ", ".join(f'"{quoted(c)}" TEXT' for c in self.names)
+        con.execute(f'CREATE TABLE IF NOT EXISTS "{quoted(table)}" ({columns})')
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        name, n = f"{self.stage}/{uuid.uuid4().hex}.db", 0
+        con = sqlite3.connect(name)
+        with con:
+            self._create(con, "part")
+            rows = (tuple(_text(v.asDict(recursive=True) if hasattr(v, "asDict") else v) for v in r) for r in iterator)
+            while part := list(itertools.islice(rows, 1000)):
+                con.executemany(f"INSERT INTO part VALUES ({', '.join('?' * len(self.names))})", part)
+                n += len(part)
+        con.close()
+        return _Staged(name, n)
+
+    def commit(self, messages: list) -> None:
+        con = sqlite3.connect(self.path, isolation_level=None)
+        new, old = f'"{quoted(self.table)}__new"', f'"{quoted(self.table)}"'
+        con.execute(f"DROP TABLE IF EXISTS {new}")
+        self._create(con, f"{self.table}__new")
+        for m in (x for x in messages if x is not None):
+            con.execute("ATTACH ? AS staged", (m.name,))
+            con.execute(f"INSERT INTO {new} SELECT * FROM staged.part")
+            con.execute("DETACH staged")
+        columns = ", ".join(f'"{quoted(c)}"' for c in self.names)
+        con.execute("BEGIN IMMEDIATE")
+        if self.overwrite:
+            con.execute(f"DROP TABLE IF EXISTS {old}")
+        self._create(con, self.table)
+        con.execute(f"INSERT INTO {old} ({columns}) SELECT {columns} FROM {new}")
+        con.execute(f"DROP TABLE {new}")
+        con.execute("COMMIT")
+        con.close()
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None:
+                Path(m.name).unlink(missing_ok=True)
+
+
+class SQLiteSink(DataSource):
+    """Rows into a table of a SQLite file on the driver's machine, all columns as text; ``stage`` is a folder that all machines share."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_sqlite_sink"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        o = self.options
+        return _SQLiteWriter(o["path"], o.get("table", "data"), o["stage"], schema.fieldNames(), overwrite)
+
+
+def spark_sqlite(df: DataFrame, path: str, table: str = "data", mode: str = "overwrite") -> None:
+    """Written by all executors and committed by the driver in one transaction. The shared folder must be mounted as files."""
+    spark = df.sparkSession
+    ship(spark)
+    folder = scratch(spark, "sqlite")
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("the shared folder isn't mounted as files; write with write_sqlite instead")
+    stage = "/" + folder.removeprefix("file:").lstrip("/")
+    Path(stage).mkdir(parents=True)
+    spark.dataSource.register(SQLiteSink)
+    try:
+        df.write.format("tidemark_sqlite_sink").mode(mode).option("path", path).option("table", table).option("stage", stage).save()
+    finally:
+        discard(spark, folder)
