@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import next_page_url, page_pattern
 from tidemark.html.parser import parse_pages
-from tidemark.session import cut
+from tidemark.session import cut, ship
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], str | None], url: str = "url") -> DataFrame:
+    """``url, html, error`` of every distinct URL by an injected fetcher, called where the rows are; null html where it gives none or fails."""
+    ship(urls.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for u in frame["url"]:
+                try:
+                    rows.append((u, fetch(u), None))
+                except Exception as e:  # a fetch that fails is data
+                    rows.append((u, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "html", "error"], dtype=object)
+
+    return urls.select(F.col(url).alias("url")).where("url is not null").distinct().mapInPandas(run, "url string, html string, error string")
 
 
 def paginate_walk(
-    starts: DataFrame, pages: DataFrame, next_url: str | None = None, max_pages: int = 20, max_empty: int = 2, mode: str = "auto", go_on: Callable[[Column, Column], Column] | None = None
+    starts: DataFrame, pages: DataFrame | Callable[[str], str | None], next_url: str | None = None, max_pages: int = 20, max_empty: int = 2, mode: str = "auto", go_on: Callable[[Column, Column], Column] | None = None
 ) -> DataFrame:
     """``start, step, url, stop``: the pages of each start (column ``url``), and on the last row why the walk stopped.
 
-    The next page comes of the column ``next_url`` of ``pages`` (url, html), or of the URL's pattern. ``go_on`` is a
+    ``pages`` is a table (url, html) or a fetcher, which is asked for the frontier's pages alone. The next page comes of the
+    column ``next_url`` of the table, or, of fetched pages in the mode ``next_link``, of their links, or of the URL's pattern. ``go_on`` is a
     condition on (url, html) under which a walk goes on behind a page. Each round joins the frontier with the pages: all
     walks go a page on at a time. Reasons: max_pages, duplicate_url, fetch_failed, consecutive_empty, callback_stopped, and
     where there is no next page no_more_pages, or in the modes ``pattern`` pattern_lost and ``next_link`` no_next_link.
     """
     ended = {"pattern": "pattern_lost", "next_link": "no_next_link"}.get(mode, "no_more_pages")
     onward = F.coalesce(go_on(F.col("url"), F.col("html")), F.lit(False)) if go_on else F.lit(True)
-    known = pages.select(F.col("url").alias("p"), F.length("html").alias("size"), (F.col(next_url) if next_url else next_page_url(F.col("url"))).alias("to"), onward.alias("onward")).dropDuplicates(["p"])
+
+    def known(front: DataFrame) -> DataFrame:
+        table, to = pages, F.col(next_url) if next_url else next_page_url(F.col("url"))
+        if not isinstance(pages, DataFrame):
+            table = cut(fetch_pages(front, pages).where("html is not null"))
+            if mode == "next_link":
+                table, to = parse_pages(table.withColumn("_p", F.col("url")), ("next_link",), "_p").select(F.col("_p").alias("url"), "next_link").join(table, "url"), F.col("next_link")
+        return table.select(F.col("url").alias("p"), F.length("html").alias("size"), to.alias("to"), onward.alias("onward")).dropDuplicates(["p"])
+
     front = starts.select(F.col("url").alias("start"), "url", F.array(F.col("url")).alias("seen"), F.lit(0).alias("empty"))
     out = None
     for step in range(max_pages):
-        got = front.join(known, F.col("url") == F.col("p"), "left")
+        got = front.join(known(front), F.col("url") == F.col("p"), "left")
         empty = F.when(F.coalesce("size", F.lit(0)) == 0, F.col("empty") + 1).otherwise(0)
         stop = (
             F.when(F.col("p").isNull(), "fetch_failed").when(empty >= max_empty, "consecutive_empty").when(~F.col("onward"), "callback_stopped").when(F.col("to").isNull(), ended)

@@ -167,3 +167,29 @@ _H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 @query("page_headings", rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace({_H1}, '&quot;', '"'), '&amp;', '&'), '&copy;', '©'), '\s+', ' ', 'g')) AS h1 FROM pages""")
 def _pheads(spark, d):
     return P.parse_pages(spread(table(spark, d, "pages")), ("headings",)).select("page_id", F.array_join("headings.h1", "|").alias("h1"))
+
+
+def _site(url: str) -> str | None:
+    """A fetcher of our own: customer k's list goes on by next links for k % 4 pages; every fifth can't be fetched."""
+    k, page = map(int, re.search(r"/c/(\d+)/(\d+)$", url).groups())
+    if k % 5 == 0:
+        raise ValueError("down")
+    return f'<p>page {page} of {k}</p>' + (f'<a rel="next" href="/c/{k}/{page + 1}">on</a>' if page < k % 4 else "")
+
+
+@query(
+    "fetch_walk",
+    """SELECT 'http://s.example/c/' || c_custkey || '/0' AS start, p::INT AS step, 'http://s.example/c/' || c_custkey || '/' || p AS url,
+CASE WHEN c_custkey % 5 = 0 THEN 'fetch_failed' WHEN p = c_custkey % 4 THEN 'no_next_link' END AS stop FROM customer, unnest(range(4)) AS r(p) WHERE p <= CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 4 END""",
+)
+def _fetch(spark, d):
+    starts = table(spark, d, "customer").select(F.concat(F.lit("http://s.example/c/"), "c_custkey", F.lit("/0")).alias("url"))
+    return crawl.paginate_walk(starts, _site, mode="next_link")
+
+
+@query("stopped_walk", "SELECT page_id, 'callback_stopped' AS stop FROM pages WHERE html LIKE '%</b>%' UNION ALL SELECT page_id, 'pattern_lost' FROM pages WHERE html NOT LIKE '%</b>%'")
+def _stopped(spark, d):
+    """Each page a walk of its own: a condition on the page ends it, or that no page number follows."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("http://w.example/x"), "page_id").alias("url"), "html")
+    got = crawl.paginate_walk(p.select("url"), p.select("url", "html"), mode="pattern", go_on=lambda url, html: ~html.contains("</b>"))
+    return got.join(p.select("page_id", "url"), "url").select("page_id", "stop")

@@ -253,3 +253,52 @@ def _history(spark, d):
         incremental.incremental(stream, f"{path}-state", f"{path}-check{i}", lambda fresh, number: got.append(fresh.count()), most=10**6).awaitTermination()
     assert got == [pages.count(), 0], got
     return writers.load_state(spark, f"{path}-state", incremental.HISTORY).select("url", "hash")
+
+
+def _picture(seed: int, noise: int) -> bytes:
+    """A grey PNG of 40 x 40 pixels: a smooth surface of its own for each seed."""
+    import math
+    import struct
+    import zlib
+
+    def value(x: int, y: int) -> int:
+        return int(128 + 60 * math.sin((seed % 5 + 1) * x / 9 + seed) + 50 * math.cos((seed // 5 + 1) * y / 9) + noise * (x == 3)) & 255
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    lines = b"".join(b"\0" + bytes(value(x, y) for x in range(40)) for y in range(40))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 40, 40, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@query("image_files_duplicates", "SELECT 'n' || n_nationkey || '-1.png' AS name FROM nation")
+def _image_files(spark, d):
+    """Two pictures a nation that differ in one column of pixels, and one that can't be read; the second of each pair goes."""
+    from tidemark.operators import dedup
+
+    folder = _local(spark, "pictures")
+    for n in table(spark, d, "nation").collect():
+        for k in (0, 1):
+            with open(f"{folder}/n{n['n_nationkey']}-{k}.png", "wb") as f:
+                f.write(_picture(n["n_nationkey"], 9 * k))
+    with open(f"{folder}/broken.png", "wb") as f:
+        f.write(b"no picture")
+    found = readers.images(spark, folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
+    return dedup.image_duplicates(found.withColumn("ord", F.col("name")), "name", threshold=2).select("name")
+
+
+@query("jdbc_round_trip", f"{_CUSTOMER} UNION ALL {_CUSTOMER}")
+def _jdbc(spark, d):
+    """Appended twice, all as text."""
+    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    for _ in range(2):
+        writers.write_jdbc(_customer(spark, d), url, "c", driver=driver)
+    return spark.read.format("jdbc").option("url", url).option("dbtable", "c").option("driver", driver).load().toDF("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("state_reset", "SELECT 0::BIGINT AS seen")
+def _reset(spark, d):
+    path = _place(spark, "reset")
+    writers.save_state(table(spark, d, "region").select("r_name"), path)
+    writers.reset_state(spark, path)
+    return writers.load_state(spark, path, "r_name string").agg(F.count("*").alias("seen"))

@@ -343,6 +343,11 @@ def load_state(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v{found[-1]}")
 
 
+def reset_state(spark, path: str) -> None:
+    """Forget all versions: what was seen is new again."""
+    discard(spark, path)
+
+
 def spark_text(df: DataFrame, path: str, fmt: str = "txt") -> None:
     """Text records or a Markdown table in parts, by all executors; each part of a table has its head."""
     if fmt == "txt":
