@@ -168,6 +168,28 @@ def test_queue_is_the_fold_of_its_log(spark):
     assert frontier.admit(new, got, cap=0).count() == 0
 
 
+def test_rows_are_left_out_where_they_are_read(spark, tmp_path):
+    """Beyond the broadcast's bound, from files and from a table of no files, the rows are those of the join."""
+    rng = random.Random(15)
+    rows = [(i % 290, rng.choice(["", None, *[f"text {k}" for k in range(60)]]), f"x{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "ord long, text string, _o string")
+    df.repartition(5).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    least = {}
+    for o, t, _ in rows:
+        if t:
+            key = t.replace(" ", "")
+            least[key] = min(least.get(key, o), o)
+    want = sorted((r for r in rows if not r[1] or least[r[1].replace(" ", "")] == r[0]), key=repr)
+    for given in (df, read, read.where("ord >= 0")):
+        for few in (0, 10**6):
+            got = dedup._first(given, F.when(F.col("text") != "", dedup.content_key(F.col("text"))), "ord", ["text"], few)
+            assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=repr) == want
+    wide = dedup._first(spark.read.parquet(str(tmp_path / "t")), F.col("text"), "ord", ["text"], 0)
+    assert "file_path" in wide._jdf.queryExecution().toString() and "Join" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert dedup._first(read.limit(0), F.col("text"), "ord", ["text"], 0).count() == 0
+
+
 def test_rate_gate_is_a_loop_over_each_domain(spark):
     rng = random.Random(6)
     start = datetime.datetime(2024, 1, 1)
