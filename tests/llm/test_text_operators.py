@@ -139,6 +139,14 @@ def test_exact_filter_keeps_one_of_each_text(spark, rows):
     assert set(texts.values()) == {1}  # the row that is there twice too
 
 
+@pytest.mark.parametrize("drop", [drop_exact_duplicates, N.drop_near_duplicates])
+def test_filters_keep_the_same_rows_whatever_their_size(spark, rows, drop, tmp_path):
+    table(spark, rows).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    many, few = (sorted_rows(drop(read, few=n), "doc_id", "text", "source", "hub") for n in (0, 10**6))
+    assert many == few and len(few) < len(rows)
+
+
 def test_misra_gries_finds_every_frequent_key():
     rng = np.random.default_rng(0)
     keys = np.concatenate([np.full(400, 7), np.full(250, 9), rng.integers(100, 10**6, 1350)])

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.rows import FEW, drop_rows
 from tidemark.session import cut, ship
 
 
@@ -74,21 +75,25 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counte
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = 1024) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = 1024, few: int = FEW) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each text, that with the largest key.
 
     A null text is an empty one, and a null key is smaller than any number. Of rows that share the largest key too one
-    stays, picked by a hash of all its columns. Keys that go are looked up beside the rows while they are few, else by a
-    join on the key. An empty table gives no rows.
+    stays, picked by a hash of all its columns. Rows that go are left out where they are read, whatever their number
+    (``drop_rows``). An empty table gives no rows.
     """
     found = exact_dedup(docs, key, text, counters).where("group_size > 1")
     groups = found.groupBy(F.col(key).alias("_key"), F.unhex("text_sha256").alias("_d")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     groups = cut(groups.where("not kept or n > 1"))
     gone = groups.where("not kept").select(F.col("_key").alias("_gone"), "_d")
-    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     # the digest is a condition beside the key of the join: it is made for rows of such a key alone
-    digest = F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256))
-    rest = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (digest <= gone["_d"]) & (digest >= gone["_d"]), "left_anti")
+    def digest(rows: DataFrame) -> Column:
+        return F.unhex(F.sha2(F.coalesce(rows[text], F.lit("")).cast("binary"), 256))
+
+    def match(rows: DataFrame) -> Column:
+        return rows[key].cast("long").eqNullSafe(gone["_gone"]) & (digest(rows) <= gone["_d"]) & (digest(rows) >= gone["_d"])
+
+    rest = drop_rows(docs, gone, match, [key, text], few)
     twins = groups.where("kept")
     n = twins.count()
     if not n:
@@ -96,7 +101,7 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     # rows that repeat both key and text
     twins = twins.select(F.col("_key").alias("_twin"), F.col("_d").alias("_t"))
     twins = F.broadcast(twins) if n <= 1_000_000 else twins
-    same = rest[key].cast("long").eqNullSafe(twins["_twin"]) & (digest <= twins["_t"]) & (digest >= twins["_t"])
+    same = rest[key].cast("long").eqNullSafe(twins["_twin"]) & (digest(rest) <= twins["_t"]) & (digest(rest) >= twins["_t"])
     whole = F.struct(*[rest[c] for c in docs.columns])
     picked = rest.join(twins, same).groupBy("_twin", "_t").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
     return rest.join(twins, same, "left_anti").unionByName(picked)

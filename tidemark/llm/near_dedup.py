@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import U, mix, shingles, slices, text_buffers, words
 from tidemark.llm.graph import components
+from tidemark.rows import FEW, drop_rows
 from tidemark.session import cut, ship
 
 SHINGLE = 3
@@ -235,16 +236,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, few: int = FEW
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each class those with its smallest key.
 
     A row goes by its key and its text, so of rows that repeat a key only those in a class with a smaller key go. Rows with
-    a null key or without a word stay. Keys that go are looked up beside the rows while they are few, else by a join on
-    the key. An empty table gives no rows.
+    a null key or without a word stay. Rows that go are left out where they are read, whatever their number (``drop_rows``).
+    An empty table gives no rows.
     """
     gone = cut(_classes(docs, key, text, threshold, k, bands, rows).where("not kept").select(F.col("id").alias("_gone"), F.col("h").alias("_text")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
     # the text's hash is a condition beside the key of the join: it is made for rows of such a key alone
-    h = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (h <= gone["_text"]) & (h >= gone["_text"]), "left_anti")
+    def match(rows: DataFrame) -> Column:
+        h = F.xxhash64(F.coalesce(rows[text], F.lit("")))
+        return (rows[key].cast("long") == gone["_gone"]) & (h <= gone["_text"]) & (h >= gone["_text"])
+
+    return drop_rows(docs, gone, match, [key, text], few)
