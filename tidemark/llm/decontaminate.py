@@ -155,7 +155,12 @@ def contaminated(
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.5, rows: int = 64, block_bytes: int = 32 << 20
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns: searched as in ``contaminated`` and filtered in one pass, with no join."""
+    """The rows of ``docs`` that hold no item, with their columns: searched as in ``contaminated`` and filtered in one pass, with no join.
+
+    Each row is judged by its own whole text, so repeated rows go or stay alike and keys don't matter. Null and wordless texts
+    hold nothing and stay; items that are null, empty or without a key take nothing out. Other columns, whatever their names,
+    come along. With no items all rows stay; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     known = items.select(F.col(item_key).cast("long").alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("id is not null").orderBy("id")

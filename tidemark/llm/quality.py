@@ -54,7 +54,12 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, folds: int = 5, held: int = 0) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns: scored and filtered in one pass, with no join."""
+    """The rows of ``docs`` that are not rejected, with their columns: scored and filtered in one pass, with no join.
+
+    Each row is judged by its own whole text, so repeated rows and ties go or stay alike. A null or empty text gets the score
+    of no features, null keys are scored as others are, and other columns, whatever their names, come along. An empty table
+    gives no rows; with no label to learn from all rows have the same score.
+    """
     spark = docs.sparkSession
     model = train_quality(docs, labels, F.crc32(F.col("id").cast("string")) % folds != held, key, text)
     sent = spark.sparkContext.broadcast(model)
