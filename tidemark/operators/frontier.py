@@ -80,15 +80,24 @@ def evict_oldest(history: DataFrame, most: int = 10_000) -> DataFrame:
     return history.orderBy(F.col("ts").desc_nulls_last(), "url").limit(most)
 
 
-def content_changed(pages: DataFrame, history: DataFrame, mode: str = "content_hash", tolerance: int = 50) -> DataFrame:
-    """``url, changed``: by MD5, or by a length that differs by more than ``tolerance`` (the true length is kept). Unknown URLs are changed."""
-    old = history.select("url", F.col("hash").alias("_h"), *(["length"] if mode == "length" else []))
-    joined = pages.join(old, "url", "left")
+def content_changed(pages: DataFrame, history: DataFrame, mode: str = "content_hash", tolerance: int = 50, on: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``url, changed``, a row a page: by MD5, or by a length that differs by more than ``tolerance`` (the true length is kept). Unknown pages are changed.
+
+    ``on`` is what a page is known by, where several pages have one URL. Where the history has several entries of a page,
+    it is unchanged if it is like any of them. Digests and lengths are joined, not contents.
+    """
+    keys = list(dict.fromkeys((*on, "url")))
     if mode == "length":
-        differs = F.coalesce(F.abs(F.col("length") - F.length("content")) > tolerance, F.lit(True))
+        seen = pages.select(*keys, F.length("content").alias("_n"))
+        old = history.where("length is not null").groupBy(*[F.col(c).alias(f"_{c}") for c in on]).agg(F.collect_set("length").alias("_old"))  # at most as many as there are lengths
+        like, differs = F.lit(True), F.coalesce(~F.exists("_old", lambda x: F.abs(x - F.col("_n")) <= tolerance), F.lit(True))
     else:
-        differs = ~F.md5(F.col("content").cast("binary")).eqNullSafe(F.col("_h"))
-    return joined.select("url", differs.alias("changed"))
+        seen = pages.select(*keys, F.md5(F.col("content").cast("binary")).alias("_n"))
+        old = history.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("hash").alias("_h")).distinct().withColumn("_known", F.lit(True))
+        like, differs = F.col("_n").eqNullSafe(F.col("_h")), F.col("_known").isNull()
+    for c in on:
+        like = like & (F.col(c) == F.col(f"_{c}"))
+    return seen.join(old, like, "left").select("url", differs.alias("changed"))
 
 
 def rate_gate(log: DataFrame, domain: str, ts: str, seconds: float, tie: str | None = None) -> DataFrame:
