@@ -103,8 +103,8 @@ def _hstats(spark, d):
 @query("length_changed", "SELECT url, abs(length(html) - (length(html) + CASE WHEN page_id % 2 = 0 THEN 60 ELSE 10 END)) > 50 AS changed FROM pages")
 def _length(spark, d):
     p = table(spark, d, "pages")
-    old = p.select("url", F.lit("x").alias("hash"), (F.length("html") + F.when(F.col("page_id") % 2 == 0, 60).otherwise(10)).alias("length"))
-    return frontier.content_changed(p.select("url", F.col("html").alias("content")), old, "length")
+    old = p.select("page_id", "url", F.lit("x").alias("hash"), (F.length("html") + F.when(F.col("page_id") % 2 == 0, 60).otherwise(10)).alias("length"))
+    return frontier.content_changed(p.select("page_id", "url", F.col("html").alias("content")), old, "length", on=("page_id", "url"))
 
 
 @query("url_join", "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/x/' || page_id AS rooted, 'https://o.example/a' AS whole FROM pages")
