@@ -50,7 +50,8 @@ def paginate_walk(
             table = cut(fetch_pages(front, pages).where("html is not null"))
             if mode == "next_link":
                 table, to = parse_pages(table.withColumn("_p", F.col("url")), ("next_link",), "_p").select(F.col("_p").alias("url"), "next_link").join(table, "url"), F.col("next_link")
-        return table.select(F.col("url").alias("p"), F.length("html").alias("size"), to.alias("to"), onward.alias("onward")).dropDuplicates(["p"])
+        rows = table.select(F.col("url").alias("p"), F.struct(F.length("html").alias("size"), to.alias("to"), onward.alias("onward")).alias("r"))
+        return rows.groupBy("p").agg(F.max("r").alias("r")).select("p", "r.*")  # of pages of one URL the longest, whichever is read first
 
     front = starts.select(F.col("url").alias("start"), "url", F.array(F.col("url")).alias("seen"), F.lit(0).alias("empty"))
     out = None

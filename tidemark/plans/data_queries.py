@@ -355,8 +355,9 @@ def _walk(spark, d):
 
     host = F.regexp_extract("url", "//([^/]*)", 1)
     p = table(spark, d, "pages").select("url", "html", host.alias("host"))
-    p = p.withColumn("nxt", F.lead("url").over(Window.partitionBy("host").orderBy("url")))
-    starts = p.groupBy("host").agg(F.min("url").alias("url")).select("url")
+    urls = p.select("host", "url").distinct().withColumn("nxt", F.lead("url").over(Window.partitionBy("host").orderBy("url")))
+    p = p.drop("host").join(urls, "url")
+    starts = urls.groupBy("host").agg(F.min("url").alias("url")).select("url")
     return crawl.paginate_walk(starts, p, "nxt")
 
 
