@@ -142,15 +142,32 @@ def parse_records(text: str) -> list[dict[str, str]]:
     return out
 
 
+#: How a line between records begins; files are split at it.
+BETWEEN = "\n" + "=" * 10
+_BETWEEN = re.compile(r"=*\s*$", re.M)
+
+
 def load_txt(spark: SparkSession, path: str) -> DataFrame:
-    """Text records as columns of the union of their keys; a key without a value is left out."""
+    """Text records as columns of the union of their keys; a key without a value is left out.
+
+    Files are split where a line begins with ten equals signs, so a task holds some records and not a file. Where such a
+    line goes on with something else it is no line between records, and those files are read whole.
+    """
     ship(spark)
 
     @F.udf("array<map<string,string>>")
     def split(text):
         return parse_records(text or "")
 
-    records = spark.read.text(path, wholetext=True).select(F.explode(split("value")).alias("r"))
+    @F.udf("array<map<string,string>>")
+    def rest(text):
+        # what is behind the split: the rest of the line between records, but in the first part of a file
+        m = _BETWEEN.match(text or "")
+        return parse_records(text[m.end() :] if m else text or "")
+
+    parts = spark.read.option("lineSep", BETWEEN).text(path)
+    odd = spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(r"^={10}") & ~F.col("value").rlike(r"^=+\s*$"))
+    records = spark.read.text(path, wholetext=True).select(F.explode(split("value")).alias("r")) if not odd.isEmpty() else parts.select(F.explode(rest("value")).alias("r"))
     # as many names as the records have keys
     names = [r["k"] for r in records.select(F.explode(F.map_keys("r")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").collect()]
     return records.select(*[F.col("r")[n].alias(n) for n in names])
