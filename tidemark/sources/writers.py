@@ -236,7 +236,7 @@ def spark_write(df: DataFrame, path: str, fmt: str = "jsonl", records_per_file:
         df = df.withColumns(nested) if nested else df
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", records_per_file)
     if fmt == "csv":
-        writer.csv(path, header=True, escape='"')
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # else blanks at a value's ends are lost
     elif fmt == "parquet":
         writer.parquet(path)
     else:
