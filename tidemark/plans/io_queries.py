@@ -290,10 +290,10 @@ def _image_files(spark, d):
 @query("jdbc_round_trip", f"{_CUSTOMER} UNION ALL {_CUSTOMER}")
 def _jdbc(spark, d):
     """Appended twice, all as text."""
-    url, driver = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    url, driver = f"jdbc:derby:{_local(spark, 'jdbc')}/c;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     for _ in range(2):
         writers.write_jdbc(_customer(spark, d), url, "c", driver=driver)
-    return spark.read.format("jdbc").option("url", url).option("dbtable", "c").option("driver", driver).load().toDF("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return readers.load_jdbc(spark, url, "c", driver=driver).toDF("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 
 
 @query("state_reset", "SELECT 0::BIGINT AS seen")

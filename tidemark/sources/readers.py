@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sqlite3
+import uuid
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -179,6 +180,18 @@ def sniff(spark: SparkSession, path: str) -> DataFrame | None:
     return load_wrapped_json(spark, path) if first and first["c"] in ("[", "{") else None
 
 
+def load_jdbc(spark: SparkSession, url: str, table: str, **properties: str) -> DataFrame:
+    """A table of a database. One of text in an embedded Derby is exported into the shared folder, as executors can't open it."""
+    from tidemark.sources import writers
+
+    found = spark.read.format("jdbc").options(**properties).option("url", url).option("dbtable", table).load()
+    if not writers.embedded(url):
+        return found
+    path, null = f"{writers.mounted(spark, 'jdbc')}.csv", uuid.uuid4().hex  # with a mark of our own, an empty text in quotes isn't null
+    writers.call(spark, url, "SYSCS_EXPORT_QUERY", f"SELECT * FROM {table}", path, ",", '"', "UTF-8")
+    return spark.read.schema(found.schema).csv(f"file://{path}", multiLine=True, escape='"', lineSep="\n", nullValue=null, mode="FAILFAST")
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files with their bytes, for a hash made by the caller's function."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,webp,bmp}").load(path)

@@ -216,10 +216,57 @@ def write_excel(df: DataFrame, path: str) -> int:
     return n
 
 
+def embedded(url: str) -> bool:
+    """A Derby database inside a JVM, here the driver's: other JVMs can't open it."""
+    return url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://")
+
+
+def mounted(spark, name: str) -> str:
+    """A new folder name in the shared folder as a path, which must be mounted as files."""
+    folder = scratch(spark, name)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("the shared folder isn't mounted as files")
+    return "/" + folder.removeprefix("file:").lstrip("/")
+
+
+def call(spark, url: str, procedure: str, *args) -> None:
+    """A procedure of a Derby database in the driver's JVM."""
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        todo = con.prepareCall(f"CALL SYSCS_UTIL.{procedure}({', '.join('?' * len(args))})")
+        for i, v in enumerate(args, 1):
+            todo.setInt(i, v) if isinstance(v, int) else todo.setString(i, v)
+        todo.execute()
+    finally:
+        con.close()
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, **properties: str) -> None:
-    """Appended, all as text, through a driver that the caller's session has."""
-    flat = df.select(*[(F.to_json(c) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema.fields for c in [f"`{f.name}`"]])
-    flat.write.mode("append").option("batchsize", batch).options(**properties).format("jdbc").option("url", url).option("dbtable", table).save()
+    """Appended, all as text, through a driver that the caller's session has.
+
+    All executors write to a server. For an embedded Derby they write files of text into the shared folder, and the
+    database in the driver's JVM takes these in; no row goes through Spark's results or the driver's heap.
+    """
+    flat = df.select(*[(F.to_json(c) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(c).cast("string")).alias(f.name) for f in df.schema.fields for c in [f"`{f.name}`"]])
+
+    def save(rows: DataFrame) -> None:
+        rows.write.mode("append").option("batchsize", batch).options(**properties).format("jdbc").option("url", url).option("dbtable", table).save()
+
+    if not embedded(url):
+        save(flat)
+        return
+    spark = df.sparkSession
+    save(spark.createDataFrame([], flat.schema))  # makes the table on the driver; there is no row for an executor to write
+    schema, _, name = (x if x.startswith('"') else x.upper() for x in table.rpartition("."))
+    folder = mounted(spark, "jdbc")
+    cells = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in flat.columns]
+    try:
+        flat.select(F.concat_ws(",", *cells).alias("value")).write.text(f"file://{folder}")
+        for part in sorted(Path(folder).glob("part-*")):
+            if part.stat().st_size:
+                call(spark, url, "SYSCS_IMPORT_DATA", schema.strip('"') or None, name.strip('"'), ",".join(flat.columns), None, str(part), ",", '"', "UTF-8", 0)
+    finally:
+        discard(spark, f"file://{folder}")
 
 
 def write_mongodb(df: DataFrame, uri: str, database: str, collection: str) -> None:
