@@ -1,32 +1,35 @@
 """Saving records: JSON, JSON lines, CSV, SQLite, Markdown, text, DOCX, XLSX, JDBC; reports and state.
 
-Formats of one file are written by the driver from an iterator over the rows, in order and in bounded memory; those that
-Spark splits into parts (``spark_*``) are for large data.
+Formats of one file are made by all executors, as parts in the shared folder, which the driver puts together in the rows'
+order and in bounded memory; what Spark leaves as parts (``spark_*``) is for large data.
 """
 
 from __future__ import annotations
 
 import csv
 import datetime
+import io
 import itertools
 import json
 import logging
 import os
+import shutil
 import sqlite3
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
-from typing import TextIO
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tidemark.operators.clean import auto_format, project
-from tidemark.session import discard, scratch, ship
+from tidemark.session import cut, discard, scratch, ship
 from tidemark.sources.readers import quoted
 
 log = logging.getLogger(__name__)
@@ -36,8 +39,56 @@ BY_SUFFIX = {v: k for k, v in SUFFIX.items()} | {".sqlite": "sqlite", ".tsv": "c
 FALLBACK = {"docx": ("markdown", "txt", "json"), "markdown": ("txt", "json"), "excel": ("csv", "json"), "csv": ("json",), "sqlite": ("json",), "txt": ("json",)}
 
 
-def _rows(df: DataFrame) -> Iterator[dict]:
-    return (r.asDict(recursive=True) for r in df.toLocalIterator(prefetchPartitions=True))
+def _stage(folder: str, form: Callable[[Iterator[dict], int], Iterator[str]], before: dict[int, int]):
+    """For ``mapPartitionsWithIndex``: a partition as text in a file of its own; its number, the file and its rows come back."""
+
+    def run(index: int, rows: Iterator) -> Iterator[tuple[int, str, int]]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        name, n = f"{base}/{uuid.uuid4().hex}", 0
+
+        def seen() -> Iterator[dict]:
+            nonlocal n
+            for n, r in enumerate(rows, 1):
+                yield r.asDict(recursive=True)
+
+        with fs.open_output_stream(name, buffer_size=1 << 20) as f:
+            for line in form(seen(), before.get(index, 0) + 1):
+                f.write(line.encode())
+        yield index, name, n
+
+    return run
+
+
+class _Parts:
+    """Rows as text, formatted by all executors into the shared folder; the driver only copies bytes, in the rows' order.
+
+    ``form`` gets a partition's rows and, if they are ``numbered``, the number of its first; those are cut for that.
+    """
+
+    def __init__(self, df: DataFrame, form: Callable[[Iterator[dict], int], Iterator[str]], numbered: bool = False) -> None:
+        spark = df.sparkSession
+        ship(spark)
+        before: dict[int, int] = {}
+        if numbered:
+            df, n = cut(df), 0
+            for i, k in sorted(tuple(r) for r in df.groupBy(F.spark_partition_id()).count().collect()):  # a row a partition
+                before[i], n = n, n + k
+        self.spark, self.folder = spark, scratch(spark, "parts")
+        self.fs, base = pafs.FileSystem.from_uri(self.folder)
+        self.fs.create_dir(base, recursive=True)
+        self.done = sorted(df.rdd.mapPartitionsWithIndex(_stage(self.folder, form, before)).collect())  # a row a partition
+        self.rows = sum(n for _, _, n in self.done)
+
+    def into(self, f: BinaryIO, skip: int = 0) -> int:
+        """The parts behind what is in the file, but for their first ``skip`` bytes; how many rows there are."""
+        for _, name, n in self.done:
+            with self.fs.open_input_stream(name) as part:
+                if n and skip:
+                    part.read(skip)
+                    skip = 0
+                shutil.copyfileobj(part, f, 1 << 20)
+        discard(self.spark, self.folder)
+        return self.rows
 
 
 def _text(v) -> str | None:
@@ -46,107 +97,115 @@ def _text(v) -> str | None:
     return json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else str(v)
 
 
-def _create(path: str, encoding: str = "utf-8") -> TextIO:
-    return Path(path).open("w", encoding=encoding, newline="\n")
-
-
 def write_json(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
-    n = 0
-    with _create(path) as f:
-        f.write("[")
-        for n, row in enumerate(_rows(df), 1):
-            f.write(("," if n > 1 else "") + "\n" + json.dumps(row, ensure_ascii=ensure_ascii, indent=2, default=str))
-        f.write("\n]" if n else "]")
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        return (",\n" + json.dumps(row, ensure_ascii=ensure_ascii, indent=2, default=str) for row in rows)
+
+    with Path(path).open("wb") as f:
+        f.write(b"[")
+        n = _Parts(df, form).into(f, skip=1)
+        f.write(b"\n]" if n else b"]")
     return n
 
 
 def write_jsonl(df: DataFrame, path: str, ensure_ascii: bool = False) -> int:
-    n = 0
-    with _create(path) as f:
-        for row in _rows(df):
-            f.write(json.dumps(row, ensure_ascii=ensure_ascii, default=str) + "\n")
-            n += 1
-    return n
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        return (json.dumps(row, ensure_ascii=ensure_ascii, default=str) + "\n" for row in rows)
+
+    with Path(path).open("wb") as f:
+        return _Parts(df, form).into(f)
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> int:
-    n = 0
-    with _create(path, "utf-8-sig") as f:
-        out = csv.writer(f, delimiter=delimiter)
-        out.writerow(df.columns)
-        for row in _rows(df):
-            out.writerow([_text(v) for v in row.values()])
-            n += 1
-    return n
+    def line(values: list) -> str:
+        out = io.StringIO()
+        csv.writer(out, delimiter=delimiter).writerow(values)
+        return out.getvalue()
+
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        return (line([_text(v) for v in row.values()]) for row in rows)
+
+    with Path(path).open("wb") as f:
+        f.write(line(df.columns).encode("utf-8-sig"))
+        return _Parts(df, form).into(f)
 
 
 def write_sqlite(df: DataFrame, path: str, table: str = "data", mode: str = "overwrite", batch: int = 1000) -> int:
-    """All columns as text. The rows of a write go in as one transaction."""
+    """All columns as text. The rows of a write go in as one transaction, as the JSON arrays that the executors made of them."""
+
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        return (json.dumps([_text(v) for v in row.values()]) + "\n" for row in rows)
+
+    parts = _Parts(df, form)
     names = ", ".join(f'"{quoted(c)}" TEXT' for c in df.columns)
-    n = 0
     con = sqlite3.connect(path)
     with con:
         if mode == "overwrite":
             con.execute(f'DROP TABLE IF EXISTS "{quoted(table)}"')
         con.execute(f'CREATE TABLE IF NOT EXISTS "{quoted(table)}" ({names})')
         cols, marks = ", ".join(f'"{quoted(c)}"' for c in df.columns), ", ".join("?" * len(df.columns))
-        rows = _rows(df)
-        while part := [tuple(_text(v) for v in r.values()) for r in itertools.islice(rows, batch)]:
-            con.executemany(f'INSERT INTO "{quoted(table)}" ({cols}) VALUES ({marks})', part)
-            n += len(part)
+        for _, name, _ in parts.done:
+            with parts.fs.open_input_stream(name) as f:
+                lines = io.BufferedReader(f)
+                while part := [json.loads(x) for x in itertools.islice(lines, batch)]:
+                    con.executemany(f'INSERT INTO "{quoted(table)}" ({cols}) VALUES ({marks})', part)
     con.close()
-    return n
+    discard(parts.spark, parts.folder)
+    return parts.rows
 
 
 def _cell(v) -> str:
     return ("" if v is None else _text(v)).translate({ord("|"): "\\|", ord("\n"): " ", ord("\r"): ""})
 
 
-def markdown_lines(df: DataFrame, index: list[dict] | None = None) -> Iterator[str]:
-    """As an article where the first row is one and there are ten or fewer, else as a table; then the index of files."""
-    first = df.limit(11).collect()
-    if first and len(first) <= 10 and "title" in df.columns and "text" in df.columns and (first[0]["title"] or "").strip() and len(first[0]["text"] or "") > 200:
-        for r in first:
-            row = r.asDict(recursive=True)
-            yield f"# {row.pop('title') or ''}\n"
-            body = row.pop("text") or ""
-            yield from (f"- **{k}**: {_cell(v)}" for k, v in row.items() if v not in (None, "", [], {}))
-            yield f"\n{body}\n\n---\n"
-    elif first:
-        yield "| " + " | ".join(_cell(c) for c in df.columns) + " |"
-        yield "| " + " | ".join("---" for _ in df.columns) + " |"
-        for row in _rows(df):
-            yield "| " + " | ".join(_cell(v) for v in row.values()) + " |"
-    if index:
-        yield "\n## Files\n\n| filename | url | local_path |\n| --- | --- | --- |"
-        yield from (f"| {_cell(x.get('filename'))} | {_cell(x.get('url'))} | {_cell(x.get('local_path'))} |" for x in index)
-
-
 def write_markdown(df: DataFrame, path: str, index: list[dict] | None = None) -> int:
-    Path(path).write_text("\n".join(markdown_lines(df, index)) + "\n", encoding="utf-8")
-    return df.count()
+    """As an article where the first row is one and there are ten or fewer, else as a table; then the index of files."""
+    first, n = df.limit(11).collect(), 0
+
+    def form(rows: Iterator[dict], at: int) -> Iterator[str]:
+        return ("| " + " | ".join(_cell(v) for v in row.values()) + " |\n" for row in rows)
+
+    with Path(path).open("wb") as f:
+        if first and len(first) <= 10 and "title" in df.columns and "text" in df.columns and (first[0]["title"] or "").strip() and len(first[0]["text"] or "") > 200:
+            for n, r in enumerate(first, 1):
+                row = r.asDict(recursive=True)
+                f.write(f"# {row.pop('title') or ''}\n\n".encode())
+                body = row.pop("text") or ""
+                f.write("".join(f"- **{k}**: {_cell(v)}\n" for k, v in row.items() if v not in (None, "", [], {})).encode())
+                f.write(f"\n{body}\n\n---\n\n".encode())
+        elif first:
+            f.write(("| " + " | ".join(_cell(c) for c in df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |\n").encode())
+            n = _Parts(df, form).into(f)
+        if index:
+            f.write(b"\n## Files\n\n| filename | url | local_path |\n| --- | --- | --- |\n")
+            f.write("".join(f"| {_cell(x.get('filename'))} | {_cell(x.get('url'))} | {_cell(x.get('local_path'))} |\n" for x in index).encode())
+        if not first and not index:
+            f.write(b"\n")
+    return n
 
 
 def write_sections(df: DataFrame, path: str, clock: Callable[[], datetime.datetime] = datetime.datetime.now) -> int:
     """A section a record, under a heading with the time."""
-    n = 0
-    with _create(path) as f:
-        f.write(f"# Export\n\n{clock().isoformat(" ", "seconds")}\n")
-        for n, row in enumerate(_rows(df), 1):
-            f.write(f"\n## {row.get('title') or f'Record {n}'}\n\n" + "".join(f"- **{k}**: {_cell(v)}\n" for k, v in row.items() if k != "title"))
-    return n
+
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        for n, row in enumerate(rows, first):
+            yield f"\n## {row.get('title') or f'Record {n}'}\n\n" + "".join(f"- **{k}**: {_cell(v)}\n" for k, v in row.items() if k != "title")
+
+    with Path(path).open("wb") as f:
+        f.write(f"# Export\n\n{clock().isoformat(' ', 'seconds')}\n".encode())
+        return _Parts(df, form, numbered=True).into(f)
 
 
 def write_txt(df: DataFrame, path: str) -> int:
-    n = 0
-    with _create(path) as f:
-        for row in _rows(df):
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        for row in rows:
             for k, v in row.items():
                 shown = "(空)" if v is None else json.dumps(v, ensure_ascii=False, indent=2, default=str) if isinstance(v, (dict, list)) else v
-                f.write(f"{k}: {shown}\n")
-            f.write("=" * 60 + "\n")
-            n += 1
-    return n
+                yield f"{k}: {shown}\n"
+            yield "=" * 60 + "\n"
+
+    with Path(path).open("wb") as f:
+        return _Parts(df, form).into(f)
 
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{0}</Types>'
@@ -159,26 +218,27 @@ def _safe(s: str) -> str:
 
 def write_docx(df: DataFrame, path: str) -> int:
     """A heading, a line of details and the paragraphs of each record."""
-    n = 0
 
     def paragraph(text: str, style: str = "") -> str:
         mark = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
         return f'<w:p>{mark}<w:r><w:t xml:space="preserve">{_safe(text)}</w:t></w:r></w:p>'
 
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        for n, row in enumerate(rows, first):
+            body = row.pop("text", None)
+            yield paragraph(str(row.pop("title", None) or f"Record {n}"), "Heading1")
+            yield paragraph("; ".join(f"{k}: {_text(v)}" for k, v in row.items() if v not in (None, "")), "")
+            yield from (paragraph(part.strip()) for part in (body or "").split("\n\n") if part.strip())
+
+    parts = _Parts(df, form, numbered=True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", _TYPES.format('<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'))
         z.writestr("_rels/.rels", _RELS.format("officeDocument", "word/document.xml"))
         with z.open("word/document.xml", "w") as f:
             f.write(b'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>')
-            for n, row in enumerate(_rows(df), 1):
-                body = row.pop("text", None)
-                f.write(paragraph(str(row.pop("title", None) or f"Record {n}"), "Heading1").encode())
-                f.write(paragraph("; ".join(f"{k}: {_text(v)}" for k, v in row.items() if v not in (None, "")), "").encode())
-                for part in (body or "").split("\n\n"):
-                    if part.strip():
-                        f.write(paragraph(part.strip()).encode())
+            parts.into(f)
             f.write(b"</w:body></w:document>")
-    return n
+    return parts.rows
 
 
 def _column(i: int) -> str:
@@ -190,9 +250,8 @@ def _column(i: int) -> str:
 
 def write_excel(df: DataFrame, path: str) -> int:
     """One sheet with a header; numbers as numbers, nested values as JSON."""
-    n = 0
 
-    def row(k: int, values: list) -> bytes:
+    def row(k: int, values: list) -> str:
         cells = []
         for i, v in enumerate(values):
             at = f"{_column(i)}{k}"
@@ -200,7 +259,12 @@ def write_excel(df: DataFrame, path: str) -> int:
                 cells.append(f'<c r="{at}"><v>{v}</v></c>')
             elif v is not None:
                 cells.append(f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{_safe(_text(v) or "")}</t></is></c>')
-        return f'<row r="{k}">{"".join(cells)}</row>'.encode()
+        return f'<row r="{k}">{"".join(cells)}</row>'
+
+    def form(rows: Iterator[dict], first: int) -> Iterator[str]:
+        return (row(n + 1, list(r.values())) for n, r in enumerate(rows, first))
+
+    parts = _Parts(df, form, numbered=True)
 
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
@@ -209,11 +273,10 @@ def write_excel(df: DataFrame, path: str) -> int:
         z.writestr("xl/_rels/workbook.xml.rels", _RELS.format("worksheet", "worksheets/sheet1.xml"))
         z.writestr("xl/workbook.xml", '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>')
         with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + row(1, df.columns))
-            for n, r in enumerate(_rows(df), 1):
-                f.write(row(n + 1, list(r.values())))
+            f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + row(1, df.columns).encode())
+            parts.into(f)
             f.write(b"</sheetData></worksheet>")
-    return n
+    return parts.rows
 
 
 def embedded(url: str) -> bool:
